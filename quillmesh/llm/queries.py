@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import leaks, pairs, subjects
+from . import leaks, neighbours, packing, pairs, subjects
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,29 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.function_pairs(table(spark, d, "source_files"))
 
 
+def _neighbours(spark: SparkSession, d: str, least: float | None) -> DataFrame:
+    usable = neighbours.current_vectors(table(spark, d, "vec_embeddings"), table(spark, d, "embedding_hashes"), 64)
+    return neighbours.nearest(usable, 64, 10, least)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    near = _neighbours(spark, d, 0.85)
+    return near.select(F.least("a", "b").alias("vec_id_a"), F.greatest("a", "b").alias("vec_id_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d, None)
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.sized(table(spark, d, "documents")), table(spark, d, "pack_plans"))
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    plans = table(spark, d, "pack_plans")
+    return packing.usage(packing.pack(packing.sized(table(spark, d, "documents")), plans), plans)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     near = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return near.filter(F.col("exact_run") >= leaks.WINDOW).select("doc_id", "item_id").distinct()
@@ -36,5 +59,5 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 4).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p9_found, p9_near, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p6_found, p6_neighbours, p8_packed, p8_usage, p9_found, p9_near, p10_found, p10_composition)}
 SQL: dict[str, str] = {}
