@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..mesh import SQL as MESH
-from ..mesh import Mesh, open_mesh
+from ..mesh import open_mesh
 from ..operators import inventory as inv
 from ..runtime import table
+from .registry import registry, us
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def add(name: str, run: Callable[[Mesh], DataFrame], sql: str | None, recursive: bool = False) -> None:
-    """Register a query over the index with its SQL over the same projection."""
-    QUERIES[name] = lambda spark, d: run(open_mesh(spark, d))
-    if sql is not None:
-        SQL[name] = f"WITH {'RECURSIVE ' * recursive}{MESH}{',' if sql.lstrip()[:4] != 'SELE' else ''}\n{sql}"
-
+QUERIES, SQL, add = registry()
 
-us = F.unix_micros
 PROJECT = "heron0"
 
 add("flt1_get_node", lambda m: inv.with_tags(m.nodes.filter(F.col("id") == PROJECT), m.tags).select("id", "node_type", "title", "location", F.array_join("tags", ",").alias("tags")),
