@@ -1 +1 @@
-"""streaming of the engine."""
+"""Incremental operators over Structured Streaming."""
