@@ -26,7 +26,8 @@ def _refuse(_: str) -> None:
     raise ValueError("not JSON")
 
 
-_decode = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_refuse).decode
+def _decode(text: str) -> object:
+    return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_refuse)
 
 
 def parse_json(text: str | None) -> tuple[bool, object]:
