@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 POOL_CAP = 50
 THRESHOLD = 0.6
+#: So many lost and so many found nodes are compared by one task.
+BLOCK = 200
 
 
 def body_ratio(old: str | None, new: str | None) -> float:
@@ -25,36 +27,68 @@ def exact_matches(lost: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(b, "code_hash").select("old_id", "new_id", F.lit(1.0).alias("ratio"))
 
 
-def match(lost: DataFrame, found: DataFrame, pool_cap: int = POOL_CAP, threshold: float = THRESHOLD) -> DataFrame:
+def _scored(threshold: float):
+    """For applyInPandas: the pairs of a block that reach the threshold."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        olds, news = list(x[x["lost"]][["id", "body"]].itertuples(index=False)), list(x[~x["lost"]][["id", "body"]].itertuples(index=False))
+        out = []
+        for n in news:
+            m = difflib.SequenceMatcher(None, "", n.body or "")
+            for o in olds:
+                if n.body is None:
+                    r = 0.0
+                else:
+                    m.set_seq1(o.body)
+                    # Both are upper bounds of the ratio.
+                    if m.real_quick_ratio() < threshold or m.quick_ratio() < threshold:
+                        continue
+                    r = m.ratio()
+                if r >= threshold:
+                    out.append((x["scope"].iloc[0], o.id, n.id, r))
+        return pd.DataFrame(out, columns=["scope", "old_id", "new_id", "ratio"])
+
+    return run
+
+
+def _greedy(x: pd.DataFrame) -> pd.DataFrame:
+    """For applyInPandas: pairs by falling ratio, at equal ratios by ids, each node once."""
+    used: set[tuple[bool, str]] = set()
+    out = []
+    for r, o, n in sorted((-p.ratio, p.old_id, p.new_id) for p in x.itertuples()):
+        if (True, o) not in used and (False, n) not in used:
+            used |= {(True, o), (False, n)}
+            out.append((o, n, -r))
+    return pd.DataFrame(out, columns=["old_id", "new_id", "ratio"])
+
+
+def match(lost: DataFrame, found: DataFrame, pool_cap: int | None = POOL_CAP, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """old_id, new_id, ratio, reason for every lost node.
 
     lost: id, scope, code_hash, body (null if unknown). found: id, scope, code_hash, body, is_new. Equal hashes match first,
     over all scopes; then within a scope pairs by falling ratio, at equal ratios by ids, down to the threshold, each node
-    once. Scopes of more than pool_cap nodes and lost nodes without a body get no similarity: reason says why. A lost node
-    without a partner has a null new_id.
+    once. Scopes of more than pool_cap nodes (None: no such limit) and lost nodes without a body get no similarity: reason
+    says why. A lost node without a partner has a null new_id.
 
-    The cap bounds what one task compares; it is part of the operator, as the pairs of a scope grow with its square.
+    One task compares at most block lost nodes with block found ones, whatever the size of the scope; the pairs of a scope
+    that reach the threshold are then assigned together.
     """
     exact = exact_matches(lost, found)
     left = lost.join(exact.select(F.col("old_id").alias("id")), "id", "left_anti")
     free = found.filter("is_new").join(exact.select(F.col("new_id").alias("id")), "id", "left_anti")
-    sizes = left.select("scope").unionByName(free.select("scope")).groupBy("scope").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") <= pool_cap).select("scope")
-    pool = left.filter("body is not null").select("scope", "id", "body", F.lit(True).alias("lost")).unionByName(free.select("scope", "id", "body", F.lit(False).alias("lost")))
-    pool = pool.join(small, "scope", "left_semi")
-
-    def greedy(x: pd.DataFrame) -> pd.DataFrame:
-        olds, news = x[x["lost"]], x[~x["lost"]]
-        pairs = sorted((-body_ratio(o.body, n.body), o.id, n.id) for o in olds.itertuples() for n in news.itertuples())
-        used: set[tuple[bool, str]] = set()
-        out = []
-        for r, o, n in pairs:
-            if -r >= threshold and (True, o) not in used and (False, n) not in used:
-                used |= {(True, o), (False, n)}
-                out.append((o, n, -r))
-        return pd.DataFrame(out, columns=["old_id", "new_id", "ratio"])
-
-    similar = pool.groupBy("scope").applyInPandas(greedy, "old_id string, new_id string, ratio double")
+    sizes = left.select("scope", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(free.select("scope", F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy("scope").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    small = (sizes if pool_cap is None else sizes.filter(F.col("a") + F.col("b") <= pool_cap)).filter("a > 0")
+    parts = small.select("scope", F.ceil(F.col("a") / block).cast("int").alias("an"), F.ceil(F.greatest("b", F.lit(1)) / block).cast("int").alias("bn"))
+    small = small.select("scope")
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # Even blocks by rank: a hash would let some grow beyond the limit.
+    rank = F.row_number().over(Window.partitionBy("scope").orderBy("id")) - 1
+    olds = left.filter("body is not null").select("scope", "id", "body").withColumn("i", F.floor(rank / block).cast("int")).join(parts, "scope")
+    news = free.select("scope", "id", "body").join(small, "scope", "left_semi").withColumn("j", F.floor(rank / block).cast("int")).join(parts, "scope")
+    olds = olds.select("scope", "id", "body", F.lit(True).alias("lost"), "i", F.explode(numbers("bn")).alias("j"))
+    news = news.select("scope", "id", "body", F.lit(False).alias("lost"), F.explode(numbers("an")).alias("i"), "j")
+    scored = olds.unionByName(news).groupBy("scope", "i", "j").applyInPandas(_scored(threshold), "scope string, old_id string, new_id string, ratio double")
+    similar = scored.groupBy("scope").applyInPandas(_greedy, "old_id string, new_id string, ratio double")
     matched = exact.unionByName(similar)
     capped = left.join(small, "scope", "left_anti").select("id", F.lit("pool_cap").alias("reason"))
     bare = left.join(small, "scope", "left_semi").filter("body is null").select("id", F.lit("no_body").alias("reason"))
@@ -70,8 +104,8 @@ def ratios(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def lost_and_found(nodes: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ids that only earlier snapshots hold, and nodes that no snapshot holds, in the shape match() takes; the scope is the
-    project and kind of file an id belongs to."""
-    scope = F.concat_ws("/", F.substring_index("id", "::", 1), F.coalesce(F.regexp_extract("location", r"\.([a-z]+)$", 1), F.lit("")))
+    file (location), or the project where none is known. No table tells which files were renamed, so none are joined."""
+    scope = F.coalesce("location", F.substring_index("id", "::", 1))
     lost = current.filter("gone").join(nodes.select("id", "location", F.col("level_2").alias("body")), "id", "left").select("id", scope.alias("scope"), F.col("cur_code").alias("code_hash"), "body")
     found = nodes.join(current.select("id"), "id", "left_anti").select("id", scope.alias("scope"), F.lower("code_hash").alias("code_hash"), F.col("level_2").alias("body"), F.lit(True).alias("is_new"))
     return lost, found

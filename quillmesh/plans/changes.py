@@ -105,4 +105,4 @@ add("api5_checkpoint", lambda m: mu.checkpoint_events(m, ["entity"], NOW, "01234
 _SCOPE = "split_part(id, '::', 1) || '/' || coalesce(regexp_extract(location, '\\.([a-z]+)$', 1), '')"
 add("jn23_exact_renames", lambda m: rn.exact_matches(*rn.lost_and_found(m.nodes, m.current)).select("old_id", "new_id"),
     "a AS (SELECT cur_code AS k, min(id) AS old_id FROM cur WHERE gone AND cur_code IS NOT NULL GROUP BY 1), b AS (SELECT lower(code_hash) AS k, min(id) AS new_id FROM n WHERE code_hash IS NOT NULL AND id NOT IN (SELECT id FROM cur) GROUP BY 1) SELECT old_id, new_id FROM a JOIN b USING (k)")
-add("stl17_rename_matcher", lambda m: rn.match(*rn.lost_and_found(m.nodes, m.current)), None)
+add("stl17_rename_matcher", lambda m: rn.match(*rn.lost_and_found(m.nodes, m.current), pool_cap=None), None)

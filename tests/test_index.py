@@ -156,6 +156,16 @@ def test_rename_matcher(spark):
     assert got == {("l1", "n1", None), ("l2", "n2", None), ("l3", None, None), ("l4", None, "no_body"), ("l5", None, "pool_cap")}
 
 
+def test_rename_matcher_compares_large_scopes(spark):
+    body = "def f{0}(a):\n    return a + {0} * {0}"
+    nodes = [node(f"p::m.old{i}", loc="p/m.py", text=body.format(i)) for i in range(7)] + [node(f"p::m.new{i}", loc="p/m.py", text=body.format(i) + "\n") for i in range(60)]
+    nodes += [node("p::other", loc="p/o.py", text=body.format(3))]
+    current = spark.createDataFrame([(f"p::m.old{i}", f"h{i}", None, True) for i in range(7)], "id string, cur_code string, cur_desc string, gone boolean")
+    lost, found = rename.lost_and_found(mesh(spark, nodes).nodes, current)
+    got = {(r.old_id, r.new_id, r.reason) for r in rename.match(lost, found, pool_cap=None, block=4).collect()}
+    assert got == {(f"p::m.old{i}", f"p::m.new{i}", None) for i in range(7)}
+
+
 def test_search_stages(spark):
     m = mesh(spark, [node("p::alpha", text="Frozen queues"), node("p::beta", text="A frozen queue"), node("p::gamma", text="nothing")], tags=[("p::alpha", "x")])
     hit = lambda *a, **k: rows(search.keyword_search(m, *a, **k), "id", "mode", "total")
