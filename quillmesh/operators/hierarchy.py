@@ -191,14 +191,44 @@ def hierarchy(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, with_paths:
     return out.select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("w").cast("int").alias("depth"), F.col("circle").alias("in_circle"), "path")
 
 
+def _on_circles(links: DataFrame, n: int) -> DataFrame:
+    """node: the ids on the circles themselves. links: node, parent of n ids in or below circles.
+
+    After n steps up every id is on its circle, and each id of a circle is reached from another of it.
+    """
+    hop = links.select("node", F.col("parent").alias("ptr"))
+    for _ in range(math.ceil(math.log2(max(n, 2)))):
+        heavy = heaviest(hop.groupBy("ptr").agg(F.count("*").alias("n")), "n").select("ptr")
+        far = hop.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"))
+        hop = cut(salted_join(hop, far, "ptr", heavy, F.col("node")).select("node", F.col("ptr2").alias("ptr")))
+    return hop.select(F.col("ptr").alias("node")).distinct()
+
+
+def all_paths(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+    """The rows of hierarchy(with_paths=True), in which ids below a circle have a path too: from the first id outside the
+    circle. Their root_id and depth (-1) stay; ids in circles have no path."""
+    placed = cut(hierarchy(links, fragment_rows, True))
+    lost = cut(links.join(placed.filter("in_circle").select(F.col("node_id").alias("node")), "node", "left_semi").select("node", "parent"))
+    n = lost.count()
+    if n == 0:
+        return placed
+    ring = cut(_on_circles(lost, n))
+    below = lost.join(ring, "node", "left_anti").join(ring.select(F.col("node").alias("parent"), F.lit(True).alias("entry")), "parent", "left")
+    trees = hierarchy(below.select("node", F.when(F.col("entry").isNull(), F.col("parent")).alias("parent")), fragment_rows, True)
+    hung = placed.filter("in_circle").drop("path").join(trees.select("node_id", "path"), "node_id", "left")
+    return placed.filter("not in_circle").unionByName(hung)
+
+
 def descendants(placed: DataFrame) -> DataFrame:
-    """ancestor_id, node_id, distance: each id under each of its ancestors. placed: the rows of hierarchy(with_paths=True).
+    """ancestor_id, node_id, distance: each id under each of its ancestors. placed: the rows of hierarchy(with_paths=True),
+    or of all_paths(), which gives those below circles too.
 
-    As many rows as the sum of depths; ids in or below circles have no ancestors in this sense.
+    As many rows as the paths have steps; ids in circles are neither ancestors nor descendants in this sense.
     """
-    up = placed.filter(F.col("path").isNotNull() & (F.col("depth") > 0))
-    ex = up.select("node_id", "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("pos", "ancestor_id"))
-    return ex.select("ancestor_id", "node_id", (F.col("depth") - F.col("pos")).cast("int").alias("distance"))
+    steps = F.size("path") - 1
+    up = placed.filter(F.col("path").isNotNull() & (steps > 0))
+    ex = up.select("node_id", steps.alias("steps"), F.posexplode(F.slice("path", F.lit(1), steps)).alias("pos", "ancestor_id"))
+    return ex.select("ancestor_id", "node_id", (F.col("steps") - F.col("pos")).cast("int").alias("distance"))
 
 
 def composes_links(edges: DataFrame) -> DataFrame:

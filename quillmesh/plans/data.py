@@ -38,6 +38,15 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(hierarchy.composes_links(table(spark, d, "edges")), with_paths=True))
 
 
+def p3_all_paths(spark: SparkSession, d: str) -> DataFrame:
+    h = hierarchy.all_paths(hierarchy.composes_links(table(spark, d, "edges")))
+    return h.select("node_id", "root_id", "depth", F.array_join("path", " / ").alias("path"))
+
+
+def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(hierarchy.all_paths(hierarchy.composes_links(table(spark, d, "edges"))))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.manifest_sections(table(spark, d, "cycle_manifests"))
 
@@ -74,7 +83,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "node_snapshots"), "snapshot_no", "id", "updated_at", ["code_hash", "desc_hash"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p3_found, p3_paths, p3_descendants, p4_found, p4_links, p4_tags, p5_found, p5_versions, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p3_found, p3_paths, p3_descendants, p3_all_paths, p3_all_descendants, p4_found, p4_links, p4_tags, p5_found, p5_versions, p7_found)}
 
 _REFS = """
 ref AS (
@@ -105,6 +114,14 @@ up AS (
 ends AS (SELECT start, seen, p.parent AS again FROM up u JOIN pick p ON p.node = u.cur WHERE list_contains(u.seen, p.parent)),
 ring AS (SELECT start AS node, list_min(seen[list_position(seen, again):]) AS root FROM ends)"""
 
+#: What hangs below circles, from the first id outside.
+_BELOW = """
+member AS (SELECT DISTINCT unnest(seen[list_position(seen, again):]) AS node FROM ends),
+below AS (
+  SELECT node, [node] AS path FROM pick WHERE parent IN (SELECT node FROM member) AND node NOT IN (SELECT node FROM member)
+  UNION ALL SELECT p.node, list_append(b.path, p.node) FROM below b JOIN pick p ON p.parent = b.node
+)"""
+
 _RUNS = """
 o AS (SELECT node_id, scanned_at AS t, change_type, git_sha FROM node_history WHERE change_type IS DISTINCT FROM 'CHECKPOINT' AND node_id IS NOT NULL AND scanned_at IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY node_id, scanned_at ORDER BY id DESC) = 1),
@@ -117,6 +134,8 @@ SQL = {
     "p3_found": f"WITH RECURSIVE {_TREE} SELECT node AS node_id, root AS root_id, CAST(depth AS INTEGER) AS depth FROM tree UNION ALL SELECT node, root, -1 FROM ring",
     "p3_paths": f"WITH RECURSIVE {_TREE} SELECT node AS node_id, root AS root_id, CAST(depth AS INTEGER) AS depth, array_to_string(path, ' / ') AS path FROM tree UNION ALL SELECT node, root, -1, NULL FROM ring",
     "p3_descendants": f"WITH RECURSIVE {_TREE} SELECT path[i] AS ancestor_id, node AS node_id, CAST(len(path) - i AS INTEGER) AS distance FROM (SELECT node, path, unnest(range(1, len(path))) AS i FROM tree)",
+    "p3_all_paths": f"WITH RECURSIVE {_TREE}, {_BELOW} SELECT node AS node_id, root AS root_id, CAST(depth AS INTEGER) AS depth, array_to_string(path, ' / ') AS path FROM tree UNION ALL SELECT r.node, r.root, -1, array_to_string(b.path, ' / ') FROM ring r LEFT JOIN below b USING (node)",
+    "p3_all_descendants": f"WITH RECURSIVE {_TREE}, {_BELOW} SELECT path[i] AS ancestor_id, node AS node_id, CAST(len(path) - i AS INTEGER) AS distance FROM (SELECT node, path, unnest(range(1, len(path))) AS i FROM (SELECT node, path FROM tree UNION ALL SELECT node, path FROM below))",
     "p5_found": f"WITH {_RUNS} SELECT node_id, epoch_us(valid_from) AS valid_from_us, coalesce(epoch_us(valid_to), -1) AS valid_to_us FROM v WHERE change_type IS DISTINCT FROM 'DELETED'",
     "p5_versions": f"WITH {_RUNS} SELECT node_id, change_type, git_sha, valid_from, valid_to FROM v WHERE change_type IS DISTINCT FROM 'DELETED'",
     "p7_found": """WITH s AS (SELECT snapshot_no, id, nullif(lower(trim(code_hash)), '') AS c, nullif(lower(trim(desc_hash)), '') AS h FROM node_snapshots

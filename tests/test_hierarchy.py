@@ -60,3 +60,13 @@ def test_descendants(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "x"), ("y", "x")], "node string, parent string")
     got = {tuple(r) for r in h.descendants(h.hierarchy(df, with_paths=True)).collect()}
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+@pytest.mark.parametrize("fragment", [3, 100_000])
+def test_below_circles(spark, fragment):
+    df = spark.createDataFrame([("a", None), ("b", "a"), ("x", "z"), ("y", "x"), ("z", "y"), ("s", "s"), ("k", "y"), ("l", "k"), ("m", "l"), ("n", "k"), ("t", "s"), ("u", "t")], "node string, parent string")
+    placed = h.all_paths(df, fragment)
+    got = {r.node_id: (r.root_id, r.depth, r.path) for r in placed.collect()}
+    assert got["m"] == ("x", -1, ["k", "l", "m"]) and got["k"] == ("x", -1, ["k"]) and got["u"] == ("s", -1, ["t", "u"])
+    assert [got[x] for x in "xyzs"] == [("x", -1, None)] * 3 + [("s", -1, None)] and got["b"] == ("a", 1, ["a", "b"])
+    assert {tuple(r) for r in h.descendants(placed).collect()} == {("a", "b", 1), ("k", "l", 1), ("k", "m", 2), ("l", "m", 1), ("k", "n", 1), ("t", "u", 1)}
