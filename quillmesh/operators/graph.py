@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,9 +121,10 @@ def inherit(m: Mesh, statuses: DataFrame, levels: int = 10_000) -> DataFrame:
     return statuses.select("id", "own", "link").join(final, "id", "full_outer").select("id", F.coalesce("o", "own").cast("int").alias("own"), F.coalesce("l", "link").cast("int").alias("link"))
 
 
-def expanded_steps(m: Mesh, levels: int = 8) -> DataFrame:
+def expanded_steps(m: Mesh, levels: int | None = None) -> DataFrame:
     """Steps of every workflow envelope, and in the place of a delegating step those of the envelope of its target:
-    root, path (dotted number), step, target, cyclic. A target already on the path is not entered again."""
+    root, path (dotted number), step, target, cyclic. A target already on the path is not entered again, which ends every
+    chain; levels, if given, ends them sooner."""
     kinds = m.nodes.filter("subtype in ('step', 'autostep')").select(F.col("id").alias("step"))
     to = m.edges.filter("edge_type = 'delegates_to'").groupBy(F.col("from_id").alias("step")).agg(F.min("to_id").alias("target"))
     of = m.edges.filter("edge_type = 'annotates'").groupBy(F.col("to_id").alias("target")).agg(F.min("from_id").alias("inner"))
@@ -133,7 +135,7 @@ def expanded_steps(m: Mesh, levels: int = 8) -> DataFrame:
     front = roots.join(own, roots.root == own.env).select("root", F.col("no").alias("path"), "step", "target", "inner", F.array("root").alias("on"))
     front = cut(front.withColumn("cyclic", F.coalesce(F.array_contains("on", F.col("inner")), F.lit(False))))
     rows = front
-    for _ in range(levels):
+    for _ in count() if levels is None else range(levels):
         nxt = front.filter("inner is not null and not cyclic").select("root", F.col("path").alias("p"), F.col("inner").alias("env"), F.concat("on", F.array("inner")).alias("on")).join(own, "env")
         nxt = nxt.select("root", F.concat("p", "no").alias("path"), "step", "target", "inner", "on").withColumn("cyclic", F.coalesce(F.array_contains("on", F.col("inner")), F.lit(False)))
         front = cut(nxt)

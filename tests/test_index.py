@@ -166,6 +166,15 @@ def test_rename_matcher_compares_large_scopes(spark):
     assert got == {(f"p::m.old{i}", f"p::m.new{i}", None) for i in range(7)}
 
 
+def test_deep_delegation_is_expanded(spark):
+    n = 11
+    nodes = [node(f"e{i}", "composite_process", "workflow") for i in range(n)] + [node(f"e{i}::step-1", subtype="step") for i in range(n)]
+    edges = [("composes", f"e{i}", f"e{i}::step-1") for i in range(n)]
+    edges += [e for i in range(n - 1) for e in (("delegates_to", f"e{i}::step-1", f"f{i + 1}"), ("annotates", f"e{i + 1}", f"f{i + 1}"))]
+    got = graph.expanded_steps(mesh(spark, nodes, edges)).filter("root = 'e0'")
+    assert rows(got, "step") == {(f"e{i}::step-1",) for i in range(n)}
+
+
 def test_search_stages(spark):
     m = mesh(spark, [node("p::alpha", text="Frozen queues"), node("p::beta", text="A frozen queue"), node("p::gamma", text="nothing")], tags=[("p::alpha", "x")])
     hit = lambda *a, **k: rows(search.keyword_search(m, *a, **k), "id", "mode", "total")
