@@ -11,36 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.javascript import blanked, lines_of, outline
+
 PAIRS = "location string, lang string, qual_name string, start_line int, line_distance int, code string, description string"
 PAIRS_ARROW = pa.schema([("location", pa.string()), ("lang", pa.string()), ("qual_name", pa.string()), ("start_line", pa.int32()), ("line_distance", pa.int32()), ("code", pa.string()), ("description", pa.string())])
 MIN_WORDS = 5
 
-# --- masking -----------------------------------------------------------------------------------------------------
-
 _PY_OPAQUE = re.compile(
     r"""(?P<str>(?P<pre>\b[rRbBuUfFtT]{1,2})?(?:\"{3}(?:[^\\]|\\.)*?(?:\"{3}|\Z)|'{3}(?:[^\\]|\\.)*?(?:'{3}|\Z)|"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)))|(?P<com>\#[^\n]*)""",
     re.S,
 )
-_JS_OPAQUE = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)|`|/(?![/*])|[{}]""", re.S)
-_JS_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
-_NOT_LINE_END = re.compile(r"[^\n]")
-
-
-def _blank(text: str) -> str:
-    return _NOT_LINE_END.sub(" ", text)
-
-
-def lines_of(text: str) -> str:
-    """The text with line feeds alone, whatever line ends it came with, and without a byte order mark."""
-    return text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")
-
-
 def mask_python(text: str) -> tuple[str, dict[int, tuple[int, str]]]:
     """(text with strings and comments blanked, start of each string -> (end, prefix))."""
     strings: dict[int, tuple[int, str]] = {}
     out, at = [], 0
     for m in _PY_OPAQUE.finditer(text):
-        out += [text[at : m.start()], _blank(m[0])]
+        out += [text[at : m.start()], blanked(m[0])]
         at = m.end()
         if m["str"] is not None:
             strings[m.start()] = (m.end(), (m["pre"] or "").lower())
@@ -48,69 +34,6 @@ def mask_python(text: str) -> tuple[str, dict[int, tuple[int, str]]]:
     return "".join(out), strings
 
 
-def mask_javascript(text: str) -> tuple[str, list[tuple[int, int]]]:
-    """(text with strings, templates, regular expressions and comments blanked, spans of the doc blocks)."""
-    docs: list[tuple[int, int]] = []
-    out: list[str] = []
-    at = pos = 0
-    depth: list[int] = []  # open braces within each ${ } of a template
-
-    def opaque(a: int, b: int) -> None:
-        nonlocal at, pos
-        out.extend((text[at:a], _blank(text[a:b])))
-        at = pos = b
-
-    def template(a: int) -> None:
-        """From within a template to its end or to the next ${."""
-        i = a + 1
-        while i < len(text):
-            c = text[i]
-            if c == "\\":
-                i += 2
-                continue
-            if c == "`":
-                return opaque(a, i + 1)
-            if c == "$" and text[i + 1 : i + 2] == "{":
-                depth.append(0)
-                return opaque(a, i + 2)
-            i += 1
-        opaque(a, len(text))
-
-    while m := _JS_OPAQUE.search(text, pos):
-        s, x = m.start(), m[0]
-        if x == "`":
-            template(s)
-        elif x == "{":
-            if depth:
-                depth[-1] += 1
-            pos = m.end()
-        elif x == "}":
-            pos = m.end()
-            if depth:
-                if depth[-1] == 0:
-                    depth.pop()
-                    template(s)
-                else:
-                    depth[-1] -= 1
-        elif x == "/":
-            before = text[max(0, s - 40) : s].rstrip()
-            word = re.search(r"[\w$]+$", before)
-            literal = not before or before[-1] in "(,=:[!&|?{};+-*%~^<>" or (word and word[0] in ("return", "typeof", "case", "in", "of", "void", "delete"))
-            r = _JS_REGEX.match(text, s) if literal else None
-            if r:
-                opaque(s, r.end())
-            else:
-                pos = m.end()
-        else:
-            if x.startswith("/**") and len(x) > 4 and x.endswith("*/"):
-                docs.append((s, m.end()))
-            opaque(s, m.end())
-    out.append(text[at:])
-    return "".join(out), docs
-
-
-# --- signatures and bodies ---------------------------------------------------------------------------------------
-
 
 @dataclass(slots=True)
 class Found:
@@ -213,96 +136,15 @@ def _docstring(text: str, masked: str, strings: dict[int, tuple[int, str]], at:
     return "".join(parts), text.count("\n", colon, i)
 
 
-_JS_SIGN = re.compile(
-    r"""(?P<cls>\b(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+(?P<cname>[A-Za-z_$][\w$]*)[^{;]*\{)
-    |(?P<fun>\b(?:export\s+(?:default\s+)?)?(?:async\s+)?function\b\s*\*?\s*(?P<fname>[A-Za-z_$][\w$]*)\s*(?:<[^(){};]*>)?\s*(?=\())
-    |(?P<var>\b(?:export\s+(?:default\s+)?)?(?:const|let|var)\s+(?P<vname>[A-Za-z_$][\w$]*)\s*(?::[^=;{}]*(?:=>[^=;{}]*)?)?=\s*(?:async\b\s*)?(?:(?P<vf>function\b\s*\*?\s*[\w$]*\s*(?=\())|(?P<va>(?:<[^(){};=]*>\s*)?(?=\())|(?P<vx>[A-Za-z_$][\w$]*\s*=>)))
-    |(?P<met>(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?\s*(?P<mname>\#?[A-Za-z_$][\w$]*)\s*(?:<[^(){};]*>)?\s*(?=\())
-    |(?P<open>\{)|(?P<close>\})|(?P<semi>;)""",
-    re.X,
-)
-_JS_WORDS = frozenset("if for while switch catch return function new typeof await super import do else try with case of in throw delete void yield".split())
-_JS_TYPE = re.compile(r"\s*(?::\s*[^{};]*?)?\s*(?=\{)")
-_JS_ARROW = re.compile(r"\s*(?::[^={};]*(?:\{[^{}]*\}[^={};]*)?)?\s*=>\s*")
-
-
-def _close(masked: str, at: int) -> int:
-    """Behind the bracket that closes the one at `at`, or -1."""
-    depth = 0
-    for m in re.compile(r"[()\[\]{}]").finditer(masked, at):
-        if m[0] in "([{":
-            depth += 1
-        else:
-            depth -= 1
-            if depth == 0:
-                return m.end()
-    return -1
-
-
 def javascript_functions(text: str) -> list[Found]:
-    """Function declarations, functions and arrows bound to names, and methods of classes, by a stack of braces."""
-    masked, docs = mask_javascript(text)
-    ends = [e for _, e in docs]
-    found: list[Found] = []
-    stack: list[tuple[str, str, Found | None]] = []  # kind, name, function
-    pos = 0
-
-    def add(name: str, start: int) -> Found:
-        doc, gap = None, 0
-        k = bisect.bisect_right(ends, start) - 1
-        if k >= 0 and not text[ends[k] : start].strip():
-            doc, gap = text[docs[k][0] + 3 : ends[k] - 2], text.count("\n", ends[k], start)
-        f = Found(".".join([*(n for _, n, _ in stack if n), name]), start, len(text), doc, gap)
-        found.append(f)
-        return f
-
-    def body(f: Found, name: str, at: int) -> int:
-        """Open the body if it starts at `at`; for an expression, it ends at the end of the line it closes on."""
-        if masked[at : at + 1] == "{":
-            stack.append(("fun", name, f))
-            return at + 1
-        e = re.compile(r"[;\n]").search(masked, at)
-        f.end = e.start() if e else len(text)
-        return at
-
-    while m := _JS_SIGN.search(masked, pos):
-        pos = m.end()
-        if m["open"]:
-            stack.append(("block", "", None))
-        elif m["close"]:
-            if stack:
-                f = stack.pop()[2]
-                if f:
-                    f.end = m.end()
-        elif m["semi"]:
-            continue
-        elif m["cls"]:
-            stack.append(("class", m["cname"], None))
-        elif m["fun"]:
-            past = _close(masked, m.end())
-            t = _JS_TYPE.match(masked, past) if past > 0 else None
-            if t:
-                pos = body(add(m["fname"], m.start()), m["fname"], t.end())
-        elif m["var"]:
-            if m["vx"]:
-                pos = body(add(m["vname"], m.start()), m["vname"], m.end() + _lead_of(masked, m.end()))
-            else:
-                past = _close(masked, m.end())
-                t = (_JS_TYPE if m["vf"] is not None else _JS_ARROW).match(masked, past) if past > 0 else None
-                if t:
-                    pos = body(add(m["vname"], m.start()), m["vname"], t.end())
-        elif m["met"]:
-            if not (stack and stack[-1][0] == "class") or m["mname"] in _JS_WORDS:
-                pos = m.end()
-                continue
-            past = _close(masked, m.end())
-            t = _JS_TYPE.match(masked, past) if past > 0 else None
-            if t:
-                pos = body(add(m["mname"], m.start()), m["mname"], t.end())
-    return found
-
+    """Function declarations, functions and arrows bound to names, members or keys, and methods of classes and objects, by a
+    stack of braces."""
+    out = []
+    for x in outline(text):
+        doc = text[x.doc[0] + 3 : x.doc[1] - 2] if x.doc else None
+        out.append(Found(x.qual, x.start, x.end, doc, text.count("\n", x.doc[1], x.start) if x.doc else 0))
+    return out
 
-# --- what a documentation says -----------------------------------------------------------------------------------
 
 # Headings of parts that describe parameters, returns, types and examples.
 _HEADINGS = "args|arguments|arg|parameters|parameter|params|param|keyword args|keyword arguments|other parameters|returns|return|return value|return type|rtype|yields|yield|raises|raise|throws|exceptions|attributes|types|type|examples|example|parámetros|devuelve|paramètres|retourne|renvoie|rückgabe|argumente"
@@ -395,8 +237,6 @@ def description(doc: str, javascript: bool) -> str:
     return "\n".join([lines[0].strip(), *(x[lead:].rstrip() for x in lines[1:])]).strip()
 
 
-# --- operator ----------------------------------------------------------------------------------------------------
-
 
 def _extract(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

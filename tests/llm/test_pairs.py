@@ -102,6 +102,40 @@ def test_javascript():
     assert got == {"K.m": "m doc", "K.m.inner": None, "K.s": "far", "K.plain": None, "f": "arrow", "g": None, "g.k": "nested", "t": "typed", "u": None}
 
 
+JS_FORMS = """
+class A { /** plain */ foo(a) { return 1 }
+  foo2() {}
+  /** gen */
+  async *g() {}
+  /** priv */ #p(x) { }
+  /** comp */ [Symbol.iterator]() { }
+  /** field */ onClick = (e) => { }
+  /** typed */ static h: Handler = async (e) => { };
+  /** get */ get(x) { }
+  x = 3; y = foo(1);
+}
+/** me */ module.exports.f = function (a) { }
+/** pr */ A.prototype.z = (a) => 1;
+/** o */ const api = { /** om */ m(a) { if (a) { call(a) } }, /** ok */ k: function (x) {}, n: { /** deep */ q() {} } };
+/** ce */ const B = class Inner extends A { /** bm */ b() { } };
+/** dc */ export default class extends A { /** dm */ d() {} }
+for (const q of z) { /** inner */ const w = (a) => { }; }
+switch (x) { case 1: { foo(); break } default: { bar() } }
+"""
+
+
+def test_javascript_forms():
+    got = {n: (d or "").strip() or None for n, d in names(JS_FORMS, True)}
+    own = {"A.foo": "plain", "A.foo2": None, "A.g": "gen", "A.#p": "priv", "A.[Symbol.iterator]": "comp", "A.onClick": "field", "A.h": "typed", "A.get": "get"}
+    assert got == own | {"f": "me", "z": "pr", "m": "om", "k": "ok", "q": "deep", "B.b": "bm", "d": "dm", "w": "inner"}
+
+
+def test_javascript_method_behind_a_block(spark):
+    text = f"class A {{\n  /** {PROSE} */\n  foo(a) {{\n    return a;\n  }}\n}}\n"
+    df = spark.createDataFrame([(1, "a.js", "javascript", text, datetime(2024, 1, 1), "", "")], S)
+    assert [(r.qual_name, r.start_line, r.line_distance, r.code.split("\n")[0]) for r in p.function_pairs(df).collect()] == [("A.foo", 3, 1, "foo(a) {")]
+
+
 @pytest.mark.parametrize(
     ("name", "doc", "ok"),
     [
