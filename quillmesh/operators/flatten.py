@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import spread
 
-#: Edges of the schema graph that are brought to the driver; fields beyond stay in their parent as JSON text.
-MOST_EDGES = 10_000
+#: Edges of the schema graph that the driver takes; records of more are refused, as their field names are data.
+MOST_EDGES = 200_000
 SHREDDED = "record_id long, table_name string, pos_path string, parent_table string, parent_path string, entry_key string, value string, fields map<string,string>"
 SHREDDED_ARROW = pa.schema([("record_id", pa.int64()), *[(c, pa.string()) for c in ("table_name", "pos_path", "parent_table", "parent_path", "entry_key", "value")], ("fields", pa.map_(pa.string(), pa.string()))])
 
@@ -27,18 +28,97 @@ def _refuse(_: str) -> None:
 
 
 def _decode(text: str) -> object:
-    return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_refuse)
+    try:
+        return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_refuse)
+    except RecursionError:
+        return _decode_deep(text)
+
+
+_STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
+_NUMBER = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?"
+_GAP = r"[ \t\n\r]*"
+
+
+def _decode_deep(text: str) -> object:
+    """JSON of any depth, without recursion: open containers are kept on a list."""
+    token = re.compile(rf"{_GAP}(?:(?P<s>{_STRING})|(?P<n>{_NUMBER})|(?P<w>true|false|null)|(?P<p>[\[\]{{}}:,])){_GAP}")
+    top: list = []
+    open_: list[tuple[object, list]] = [(top, [])]  # container, key waiting for its value
+    want = "value"  # what may come: value, first (a value or the end), key, firstkey, colon, more
+    at = 0
+    while at < len(text):
+        m = token.match(text, at)
+        if m is None:
+            _refuse(text)
+        at = m.end()
+        box, key = open_[-1]
+        p = m["p"]
+        if p in ("]", "}"):
+            if len(open_) == 1 or isinstance(box, list) != (p == "]") or want not in (("first", "more") if p == "]" else ("firstkey", "more")):
+                _refuse(text)
+            open_.pop()
+            want = "more"
+        elif p == ":":
+            if want != "colon":
+                _refuse(text)
+            want = "value"
+        elif p == ",":
+            if want != "more" or len(open_) == 1:
+                _refuse(text)
+            want = "value" if isinstance(box, list) else "key"
+        elif want in ("key", "firstkey"):
+            if m["s"] is None:
+                _refuse(text)
+            key.append(json.loads(m["s"]))
+            want = "colon"
+        elif want in ("value", "first"):
+            v: object = [] if p == "[" else {} if p == "{" else json.loads(m["s"]) if m["s"] else _Number(m["n"]) if m["n"] else {"true": True, "false": False, "null": None}[m["w"]]
+            if isinstance(box, dict):
+                box[key.pop()] = v
+            else:
+                box.append(v)
+            if p:
+                open_.append((v, []))
+            want = "first" if p == "[" else "firstkey" if p == "{" else "more"
+        else:
+            _refuse(text)
+    if len(open_) > 1 or len(top) != 1:
+        _refuse(text)
+    return top[0]
+
+
+def _encode(v: object) -> str:
+    """The text of a value of any depth, numbers as they were written."""
+    out: list[str] = []
+    todo: list = [v]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):  # a piece of text
+            out.append(x[0])
+        elif isinstance(x, dict | list):
+            ends = "{}" if isinstance(x, dict) else "[]"
+            parts: list = [(ends[0],)]
+            for i, e in enumerate(x):
+                if i:
+                    parts.append((", ",))
+                if ends == "{}":
+                    parts += [(json.dumps(e, ensure_ascii=False) + ": ",), x[e]]
+                else:
+                    parts.append(e)
+            parts.append((ends[1],))
+            todo += reversed(parts)
+        else:
+            out.append(x if isinstance(x, _Number) else json.dumps(x, ensure_ascii=False))
+    return "".join(out)
 
 
 def parse_json(text: str | None) -> tuple[bool, object]:
-    """(is valid JSON, value); a leading byte order mark and JSON text within JSON strings are resolved."""
+    """(is valid JSON, value); a leading byte order mark and JSON text within JSON strings, however often, are resolved."""
     value: object = text
-    for _ in range(8):
-        if not isinstance(value, str) or isinstance(value, _Number):
-            break
+    while isinstance(value, str) and not isinstance(value, _Number):
         try:
             value = _decode(value.lstrip("﻿"))
-        except (ValueError, RecursionError):
+        except ValueError:
             return (value is not text), value
     return text is not None, value
 
@@ -48,7 +128,7 @@ def as_text(v: object) -> str | None:
         return v
     if isinstance(v, bool):
         return "true" if v else "false"
-    return json.dumps(v, ensure_ascii=False)
+    return _encode(v)
 
 
 def entries(value: object) -> list[tuple[int, str | None, object]]:
@@ -130,12 +210,16 @@ class Layout:
     edges: frozenset[tuple[str, str]]
 
 
-def layout(records: DataFrame, raw: str, root: str, recursive: str) -> Layout:
+def layout(records: DataFrame, raw: str, root: str, recursive: str, most_edges: int = MOST_EDGES) -> Layout:
     """Analyse the schema graph of all records and choose the tables: the root, and elements that are repeated (a list,
-    or the field read in any spelling), shared (under several parents) or recursive. Others are inlined in their parent."""
+    or the field read in any spelling), shared (under several parents) or recursive. Others are inlined in their parent.
+
+    Records with more than most_edges different pairs of an element and a field are an error: nothing is left out."""
     found = spread(records.select(F.col(raw).alias("raw"))).mapInArrow(_schema_edges(root, recursive), "parent string, field string, n long, most long, listed long")
     agg = found.groupBy("parent", "field").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.max("listed").alias("listed"))
-    rows = agg.orderBy(F.col("n").desc(), "parent", "field").limit(MOST_EDGES).collect()
+    rows = agg.limit(most_edges + 1).collect()
+    if len(rows) > most_edges:
+        raise ValueError(f"more than {most_edges} pairs of an element and a field: their names are data, read such objects as maps first")
     parents: dict[str, set[str]] = {}
     repeated = {recursive}
     for r in rows:

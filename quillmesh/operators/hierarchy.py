@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import blank, cut, heaviest, parallelism, salted_join
+from ..runtime import Heavy, blank, cut, parallelism, salted_join
 
 #: Links that one task holds in memory; a forest of no more is solved in one piece.
 FRAGMENT_ROWS = 250_000
@@ -95,7 +95,7 @@ def _expand(links: DataFrame, solved: DataFrame, with_paths: bool) -> DataFrame:
     """Put the solution of the exits under the rows that end in them."""
     known = links.filter("ptr is null")
     open_ = links.filter("ptr is not null")
-    heavy = heaviest(open_.groupBy("ptr").agg(F.count("*").alias("n")), "n").select("ptr")
+    heavy = Heavy(open_.groupBy("ptr").agg(F.count("*").alias("n")), "ptr", "n")
     up = solved.select(F.col("node").alias("ptr"), F.col("w").alias("w2"), F.col("root").alias("r2"), F.col("circle").alias("c2"), F.col("path").alias("p2"))
     got = salted_join(open_, up, "ptr", heavy, F.col("node")).select(
         "node",
@@ -109,48 +109,24 @@ def _expand(links: DataFrame, solved: DataFrame, with_paths: bool) -> DataFrame:
     return known.unionByName(got)
 
 
-def _doubled(links: DataFrame, n: int, with_paths: bool) -> DataFrame:
-    """Solve links that local contraction no longer shrinks, by pointer doubling: log2(n) joins of the links with themselves."""
-    if with_paths:  # circles first, so that no path runs round and round
-        flat = _doubled(links.withColumn("path", F.lit(None).cast("array<string>")), n, False).filter("circle")
-        flat = cut(flat)
-        tree = links.join(flat.select("node"), "node", "left_anti")
-        return flat.unionByName(_jumped(tree, n, True))
-    links = _jumped(links, n, False)
-    # What is left runs into circles; every ptr now lies in its circle, and low of that ptr spans the whole circle.
-    rings = links.filter("ptr is not null")
-    least = rings.select(F.col("node").alias("ptr"), F.col("low").alias("least"))
-    heavy = heaviest(rings.groupBy("ptr").agg(F.count("*").alias("n")), "n").select("ptr")
-    ringed = salted_join(rings, least, "ptr", heavy, F.col("node"))
-    ringed = ringed.select("node", F.lit(None).cast("string").alias("ptr"), F.lit(-1).cast("long").alias("w"), "low", F.col("least").alias("root"), F.lit(True).alias("circle"), F.lit(None).cast("array<string>").alias("path"))
-    return links.filter("ptr is null").unionByName(ringed)
-
-
-def _jumped(links: DataFrame, n: int, with_paths: bool) -> DataFrame:
-    for _ in range(math.ceil(math.log2(max(n, 2))) + 1):
-        far = links.select(F.col("node").alias("ptr"), *[F.col(c).alias(f"{c}2") for c in ("ptr", "w", "low", "root", "circle", "path")])
-        open_ = links.filter("ptr is not null")
-        heavy = heaviest(open_.groupBy("ptr").agg(F.count("*").alias("n")), "n").select("ptr")
-        moved = salted_join(open_, far, "ptr", heavy, F.col("node")).select(
-            "node",
-            F.col("ptr2").alias("ptr"),
-            F.when(F.col("circle2"), F.lit(-1)).otherwise(F.least(F.col("w") + F.col("w2"), F.lit(1 << 61))).cast("long").alias("w"),
-            F.when(F.col("ptr2").isNotNull(), F.least("low", "low2")).otherwise(F.col("low")).alias("low"),
-            F.col("root2").alias("root"),
-            F.col("circle2").alias("circle"),
-            (F.concat("path2", "path") if with_paths else F.lit(None).cast("array<string>")).alias("path"),
-        )
-        links = cut(links.filter("ptr is null").unionByName(moved))
-        if links.filter("ptr is not null").isEmpty():
-            break
-    return links
-
-
-def _solve(links: DataFrame, n: int, fragment_rows: int, with_paths: bool, top: bool = False) -> DataFrame:
+def _deal(links: DataFrame, pieces: int, turn: int) -> DataFrame:
+    """Fragments: sorted ranges of ids at turn 0; later random mates, a row that draws tails going to the fragment of a parent
+    that draws heads, so that a quarter of all links lie within a fragment whatever the ids say. Children of heavy parents
+    stay where their own id puts them."""
+    if turn == 0:
+        return links.repartitionByRange(pieces, "node")
+    heads = lambda c: F.pmod(F.xxhash64(F.lit(turn), c), F.lit(2)) == 0
+    heavy = Heavy(links.filter("ptr is not null").groupBy("ptr").agg(F.count("*").alias("n")), "ptr", "n")
+    told = heavy.told(links, "ptr", F.col("node"))
+    mate = F.col("ptr").isNotNull() & ~heads(F.col("node")) & heads(F.col("ptr")) & (F.col("_salts") == 1)
+    return told.repartition(pieces, F.when(mate, F.col("ptr")).otherwise(F.col("node"))).select(*links.columns)
+
+
+def _solve(links: DataFrame, n: int, fragment_rows: int, with_paths: bool, top: bool = False, turn: int = 0) -> DataFrame:
     pieces = math.ceil(n / fragment_rows)
     if top:  # enough tasks for all cores
         pieces = max(pieces, min(2 * parallelism(links.sparkSession), math.ceil(n / 5000)))
-    dealt = links.repartitionByRange(pieces, "node") if pieces > 1 else links.coalesce(1)
+    dealt = _deal(links, pieces, turn) if pieces > 1 else links.coalesce(1)
     local = dealt.mapInArrow(_contract(with_paths), LINKS)
     if pieces <= 1:
         return local
@@ -160,8 +136,8 @@ def _solve(links: DataFrame, n: int, fragment_rows: int, with_paths: bool, top:
     m = quotient.count()
     if m == 0:
         return local
-    solved = _solve(quotient, m, fragment_rows, with_paths) if m <= 0.7 * n else _doubled(quotient, m, with_paths)
-    return _expand(local, solved, with_paths)
+    # Where sorted ranges keep most of the links outside, the next fragments are dealt anew.
+    return _expand(local, _solve(quotient, m, fragment_rows, with_paths, turn=turn + (turn > 0 or m > 0.7 * n)), with_paths)
 
 
 def hierarchy(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, with_paths: bool = False) -> DataFrame:
@@ -174,7 +150,7 @@ def hierarchy(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, with_paths:
     Ids are dealt in sorted ranges of fragment_rows, in which ids of one project and file lie together. Within a
     range each chain is followed to its end or to the first ancestor in another range (the exit). The exits with
     their contracted links form a smaller forest, which is solved in the same way; its solution is then put under
-    the fragments. Where a quotient doesn't shrink (ids in no useful order), pointer doubling solves it.
+    the fragments. Where sorted ranges hardly shrink it (ids in no useful order), the next fragments join random mates.
     """
     every = links.filter("node is not null")
     start = every.select(
@@ -198,7 +174,7 @@ def _on_circles(links: DataFrame, n: int) -> DataFrame:
     """
     hop = links.select("node", F.col("parent").alias("ptr"))
     for _ in range(math.ceil(math.log2(max(n, 2)))):
-        heavy = heaviest(hop.groupBy("ptr").agg(F.count("*").alias("n")), "n").select("ptr")
+        heavy = Heavy(hop.groupBy("ptr").agg(F.count("*").alias("n")), "ptr", "n")
         far = hop.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"))
         hop = cut(salted_join(hop, far, "ptr", heavy, F.col("node")).select("node", F.col("ptr2").alias("ptr")))
     return hop.select(F.col("ptr").alias("node")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import blank, heaviest, salted_join
+from ..runtime import Heavy, blank, cut, salted_join
 
 STATE = ("key", "refs", "existing", "first_ref", "first_seen", "was_deleted")
 
@@ -64,8 +64,9 @@ def orphan_references(refs: DataFrame, ids: DataFrame, deleted: DataFrame) -> Da
     refs = refs.select("table_name", "ref_field", "row_key", "key", "ref_time").filter(~blank("key"))
     state = apply_deltas(None, reference_deltas(refs), existence_deltas(ids), deletion_marks(deleted))
     # Only keys that can carry a case go into the join back to the references.
-    suspects = orphan_keys(state).unionByName(state.filter((F.col("refs") > 0) & (F.col("existing") > 0) & (F.col("first_seen") > F.col("first_ref"))))
-    heavy = heaviest(suspects, "refs").select("key")
+    late = (F.col("existing") > 0) & (F.col("first_seen") > F.col("first_ref"))
+    suspects = cut(state.filter((F.col("refs") > 0) & ((F.col("existing") <= 0) | late)))
+    heavy = Heavy(suspects, "key", "refs")
     joined = salted_join(refs, suspects.select("key", "existing", "first_seen", "was_deleted"), "key", heavy, F.col("row_key"))
     kind: Column = F.when(F.col("existing") <= 0, F.when(F.col("was_deleted"), "deleted").otherwise("missing")).when(F.col("first_seen") > F.col("ref_time"), "late")
     return joined.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select("table_name", "ref_field", "row_key", "key", "ref_time", "kind")

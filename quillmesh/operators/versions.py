@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import HEAVY_ROWS, heaviest
+from ..runtime import HEAVY_ROWS, Heavy, cut
 
 
 def versions(rows: DataFrame, key: str, at: str, attributes: Sequence[str], order: str, ends: Column | None = None, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -18,34 +18,29 @@ def versions(rows: DataFrame, key: str, at: str, attributes: Sequence[str], orde
     before them and are none themselves. Rows with a null key or at are no observations and are left out. Other
     columns are ignored.
 
-    Keys with more than heavy_rows rows are cut into stretches of time of about that many rows, each handled by a
-    task of its own; what the stretches need of each other (their first and last attributes and the first start
-    after them) is a row per stretch.
+    Rows of keys with more than heavy_rows rows are sorted into ranges of key and time over all tasks, whatever the key;
+    what the stretches of a key need of each other (their last attributes and the first start after them) is a row per
+    stretch.
     """
     attributes = list(attributes)
-    one = rows.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("k"), F.col(at).alias("t"))
+    known = rows.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    one = known.groupBy(F.col(key).alias("k"), F.col(at).alias("t"))
     obs = one.agg(F.max_by(F.struct(*attributes), F.coalesce(F.col(order), F.lit(-(2**63)))).alias("v"))
     obs = obs.withColumn("h", F.xxhash64(*[F.struct(F.col(f"v.{a}").isNull(), F.col(f"v.{a}")) for a in attributes]))
-
-    counts = rows.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
-    heavy = [r["k"] for r in heaviest(counts, "n", heavy_rows).select("k").collect()]  # at most HEAVY_KEYS
-    cuts = None
-    if heavy:
-        hot = obs.filter(F.col("k").isin(heavy))
-        grid = [i / 256 for i in range(1, 256)]
-        q = hot.groupBy("k").agg(F.count("*").alias("n"), F.percentile_approx(F.unix_micros("t"), F.array(*[F.lit(x) for x in grid]), F.lit(10000)).alias("q"))
-        step = F.greatest(F.lit(1), F.floor(F.lit(256.0 * heavy_rows) / F.col("n")).cast("int"))
-        cuts = q.select("k", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % step == 0)).alias("cuts"))
-        obs = obs.join(F.broadcast(cuts), "k", "left").withColumn("part", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.unix_micros("t"))), F.lit(0))).drop("cuts")
+    heavy = Heavy(known.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")), "k", "n", heavy_rows)
+    if heavy.n:
+        told = heavy.told(obs, "k", F.col("t"))
+        hot = told.filter("_salts > 1").drop("_salts").repartitionByRange("k", "t").withColumn("part", F.spark_partition_id())
+        obs = told.filter("_salts = 1").drop("_salts").withColumn("part", F.lit(-1)).unionByName(cut(hot))
     else:
-        obs = obs.withColumn("part", F.lit(0))
+        obs = obs.withColumn("part", F.lit(-1))
     w = Window.partitionBy("k", "part").orderBy("t")
     before, first = F.lag(F.struct("h", "v")).over(w), F.row_number().over(w) == 1
-    if heavy:
+    if heavy.n:
         # Attributes at the end of the stretch before, a row per stretch of a heavy key.
-        tails = obs.filter(F.col("k").isin(heavy)).groupBy("k", "part").agg(F.max_by(F.struct("h", "v"), "t").alias("tail"))
+        tails = obs.filter("part >= 0").groupBy("k", "part").agg(F.max_by(F.struct("h", "v"), "t").alias("tail"))
         tails = tails.select("k", "part", F.lag("tail").over(Window.partitionBy("k").orderBy("part")).alias("carried"))
-        obs = obs.join(F.broadcast(tails), ["k", "part"], "left")
+        obs = obs.join(tails, ["k", "part"], "left")
         before = F.coalesce(before, F.when(first, F.col("carried")))
     obs = obs.withColumn("before", before)
     changed = F.col("before").isNull() | (F.col("before.h") != F.col("h")) | ~F.col("before.v").eqNullSafe(F.col("v"))
@@ -53,11 +48,11 @@ def versions(rows: DataFrame, key: str, at: str, attributes: Sequence[str], orde
     # Island 0 of a stretch goes on from the stretch before it and has no start of its own.
     runs = obs.filter(F.col("island") > 0).groupBy("k", "part", "island").agg(F.min("t").alias("valid_from"), F.min_by("v", "t").alias("v"))
     runs = runs.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("k", "part").orderBy("island")))
-    if heavy:
-        heads = runs.filter(F.col("k").isin(heavy)).groupBy("k", "part").agg(F.min("valid_from").alias("head"))
-        parts = obs.filter(F.col("k").isin(heavy)).select("k", "part").distinct().join(heads, ["k", "part"], "left")
+    if heavy.n:
+        heads = runs.filter("part >= 0").groupBy("k", "part").agg(F.min("valid_from").alias("head"))
+        parts = obs.filter("part >= 0").select("k", "part").distinct().join(heads, ["k", "part"], "left")
         later = Window.partitionBy("k").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
         parts = parts.select("k", "part", F.min("head").over(later).alias("next_head"))
-        runs = runs.join(F.broadcast(parts), ["k", "part"], "left").withColumn("valid_to", F.coalesce("valid_to", "next_head"))
+        runs = runs.join(parts, ["k", "part"], "left").withColumn("valid_to", F.coalesce("valid_to", "next_head"))
     out = runs.select(F.col("k").alias(key), *[F.col(f"v.{a}").alias(a) for a in attributes], "valid_from", "valid_to")
     return out.filter(~F.coalesce(ends, F.lit(False))) if ends is not None else out

@@ -11,10 +11,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is salted only if it has more rows than this, and at most HEAVY_KEYS keys are.
-#: Any key beyond the HEAVY_KEYS largest holds under 1/HEAVY_KEYS of all rows.
+#: A key is salted if it has more rows than this; each salt then serves about as many.
 HEAVY_ROWS = 20_000
-HEAVY_KEYS = 1000
+#: Up to so many heavy keys are broadcast; more are told to the rows by a salted join.
+MOST_BROADCAST = 100_000
+#: Tasks that a row without a known key is dealt over when heavy keys are told by a join.
 SALTS = 32
 
 _written: list[tuple[SparkSession, str]] = []
@@ -41,7 +42,8 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: spark.checkpoint.dir of the session, and only in local mode, where that is unset, one of our own."""
+    """The folder for checkpoints: spark.checkpoint.dir of the session. Only a session on this machine alone, started without
+    one, gets a folder of its own, for as long as the process lives."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
@@ -96,24 +98,49 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Deal rows evenly over a few tasks per core, for steps that are costly per row and read few, small files."""
-    return df.repartition(parallelism(df.sparkSession) * factor)
+    """For steps that are costly per row: an input of fewer splits than tasks wanted is dealt evenly over those; a larger one
+    is read in its own splits, without a shuffle."""
+    spark = df.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    splits = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // split
+    want = parallelism(spark) * factor
+    return df.repartition(want) if splits < want else df
+
+
+class Heavy:
+    """The keys with more than HEAVY_ROWS rows and the number of salts for each, written once and counted.
+
+    However many there are, each is salted: up to MOST_BROADCAST the list is broadcast, beyond that the rows learn of it
+    by a join in which both sides are dealt over SALTS.
+    """
 
+    def __init__(self, counts: DataFrame, key: str, n: str, rows: int = HEAVY_ROWS):
+        hot = counts.filter(F.col(n) > rows).select(F.col(key).alias("_key"), F.ceil(F.col(n) / rows).cast("int").alias("_salts"))
+        self.table = cut(hot)
+        self.n = self.table.count()
 
-def heaviest(counts: DataFrame, n: str, rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys of counts to be salted: at most HEAVY_KEYS rows, so safe to broadcast at any size."""
-    return counts.filter(F.col(n) > rows).orderBy(F.col(n).desc()).limit(HEAVY_KEYS)
+    def told(self, df: DataFrame, key: str, by: Column | None = None) -> DataFrame:
+        """df with the column _salts: the number of salts of a heavy key, 1 for all others."""
+        if not self.n:
+            return df.withColumn("_salts", F.lit(1))
+        hot = self.table.withColumnRenamed("_key", key)
+        if self.n <= MOST_BROADCAST or by is None:
+            got = df.join(F.broadcast(hot) if self.n <= MOST_BROADCAST else hot, key, "left")
+        else:
+            many = hot.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            got = df.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(many, [key, "_deal"], "left").drop("_deal")
+        return got.withColumn("_salts", F.coalesce("_salts", F.lit(1)))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """left ⋈ right on key, where right has one row per key and the keys in heavy (one column, key) hold many rows of left.
+def salted_join(left: DataFrame, right: DataFrame, key: str, heavy: Heavy, by: Column, how: str = "inner") -> DataFrame:
+    """left ⋈ right on key, where right has one row per key and the heavy keys hold many rows of left.
 
-    Rows of heavy keys are dealt over salts by the hash of by; the one matching row of right is repeated per salt.
+    Rows of a heavy key are dealt over its salts by the hash of by; the one matching row of right is repeated per salt.
     """
-    marked = F.broadcast(heavy.select(F.col(key), F.lit(True).alias("_hot")))
-    hot = F.coalesce(F.col("_hot"), F.lit(False))
-    a = left.join(marked, key, "left").withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
-    b = right.join(marked, key, "left").withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    if not heavy.n:
+        return left.join(right, key, how)
+    a = heavy.told(left, key, by).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_salts")).cast("int")).drop("_salts")
+    b = heavy.told(right, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return a.join(b, [key, "_salt"], how).drop("_salt")
 
 

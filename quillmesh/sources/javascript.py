@@ -114,7 +114,7 @@ _SIGN = re.compile(
     re.X,
 )
 # Words of the language that stand before a bracket and name no function.
-_WORDS = frozenset("if for while switch catch return function new typeof await super import do else try with case of in throw delete void yield class constructor_".split())
+_WORDS = frozenset("if for while switch catch return function new typeof await super import do else try with case of in throw delete void yield class".split())
 _TYPE = re.compile(r"\s*(?::\s*[^{};]*?)?\s*(?=\{)")
 _ARROW = re.compile(r"\s*(?::[^={};]*(?:\{[^{}]*\}[^={};]*)?)?\s*=>\s*")
 _BRACKET = re.compile(r"[()\[\]{}]")

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from quillmesh.operators import flatten as f
 
 S = "manifest_id long, raw string, record_id string, value string"
@@ -40,3 +42,24 @@ def test_layout_and_foreign_keys(spark):
 def test_long_record(spark):
     m = {"sections": [{"id": str(i), "content": "x" * 1000} for i in range(25_000)]}
     assert len(sections(spark, json.dumps(m))) == 25_000
+
+
+def test_no_cap_on_nesting(spark):
+    deep = '{"sections": ' + '[{"id": "x", "sections": ' * 60_000 + "[]" + "}]" * 60_000 + "}"
+    wrapped = json.dumps({"sections": [{"id": "w"}]})
+    for _ in range(11):
+        wrapped = json.dumps(wrapped)
+    wide = json.dumps({"sections": [{"id": "a", "content": {"deep": json.loads("[" * 50 + "1.50" + "]" * 50, parse_float=str)}}]})
+    got = sections(spark, wrapped, wide)
+    assert got == [(0, "0", "", "w"), (1, "0", "", "a")]
+    ok, value = f.parse_json(deep)
+    assert ok and f.as_text(value) == deep
+    assert not f.parse_json(deep[:-1])[0]
+    assert f.as_text(f.parse_json('{"a": [1.50, "x", null, true]}')[1]) == '{"a": [1.50, "x", null, true]}'
+
+
+def test_too_many_fields_are_refused(spark):
+    df = spark.createDataFrame([(1, json.dumps({"sections": [], **{f"k{i}": {} for i in range(30)}}))], "manifest_id long, raw string")
+    assert f.layout(df, "raw", "manifest", "sections", 100).tables["sections"]
+    with pytest.raises(ValueError):
+        f.layout(df, "raw", "manifest", "sections", 10)

@@ -3,6 +3,7 @@ from datetime import datetime
 
 import pytest
 
+from quillmesh import runtime
 from quillmesh.operators import hierarchy as h
 
 
@@ -41,7 +42,21 @@ def test_against_brute_force(spark, fragment, paths):
         assert got == want
 
 
-def test_doubling(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 1])
+def test_random_mates_and_heavy_parents(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(runtime, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(runtime.Heavy.__init__, "__defaults__", (5,))
+    rnd = random.Random(3)
+    ids = [f"n{rnd.random()}" for _ in range(400)]
+    parent = {x: ids[i - 1] if i else None for i, x in enumerate(ids[:200])}  # a chain in no order of ids
+    parent |= {x: ids[rnd.choice([7, 9, i - 1])] for i, x in enumerate(ids[200:380], 200)}  # two parents of many
+    parent |= {x: ids[380 + (i + 1) % 20] for i, x in enumerate(ids[380:])}  # a circle
+    df = spark.createDataFrame(list(parent.items()), "node string, parent string")
+    got = {r.node_id: (r.root_id, r.depth, r.path) for r in h.hierarchy(df, 30, True).collect()}
+    assert got == brute(parent)
+
+
+def test_no_order(spark):
     parent = {f"n{i:03}": f"n{(i * 37 + 11) % 97:03}" if i % 9 else None for i in range(97)}
     df = spark.createDataFrame(list(parent.items()), "node string, parent string")
     got = {r.node_id: (r.root_id, r.depth, r.path) for r in h.hierarchy(df, 2, True).collect()}
