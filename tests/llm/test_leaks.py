@@ -63,6 +63,47 @@ def test_against_brute_force(spark, errors, block):
     assert {(r.doc_id, r.item_id) for r in got.filter("exact_run >= 12").collect()} == brute(docs, items)
 
 
+@pytest.mark.parametrize("errors", [1, 2])
+def test_planted_edits(errors):
+    """Every window within the budget is found, wherever the edits are: held against the edit distance of all windows."""
+    rnd = random.Random(errors)
+    text = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    items = [(i, f"read this then answer {text(rnd.randrange(9, 14))}") for i in range(12)]
+    index = lk._Index(items, 12, errors)
+    held = 0
+    for _ in range(250):
+        k, t = rnd.choice(items)
+        w = t.split()
+        a = rnd.randrange(len(w) - 11)
+        x = list(" ".join(w[a : a + 12]))
+        for _ in range(rnd.randrange(0, errors + 2)):
+            at = rnd.choice([i for i, c in enumerate(x) if c == " "] if rnd.random() < 0.4 else range(1, len(x) - 1))
+            x[at : at + rnd.randrange(2)] = [] if rnd.random() < 0.4 else [rnd.choice("az ")]
+        doc = f"{text(4)} {''.join(x)} {text(4)}".split()
+        got = {i: d for i, d, _ in index.search(doc)}
+        for i, y in items:
+            v = y.split()
+            # Text around a window within the budget starts and ends at words that the edits may have parted or joined.
+            least = min(lk.edit_distance_within(" ".join(v[s : s + 12]), " ".join(doc)) for s in range(len(v) - 11))
+            if least <= errors:
+                held += 1
+                assert i in got and got[i] == least, (y, doc)
+            else:
+                assert i not in got
+    assert held > 150
+
+
+def test_without_the_automaton(monkeypatch):
+    import sys
+
+    rnd = random.Random(5)
+    text = "".join(rnd.choice("ab ") for _ in range(3000))
+    patterns = {text[i : i + rnd.randrange(2, 30)] for i in range(0, 900, 7)}
+    native = lk.Automaton(patterns).hits(text)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    assert sorted(lk.Automaton(patterns).hits(text)) == sorted(native)
+
+
 def test_dirt_and_near(spark):
     base = [f"word{i}" for i in range(14)]
     item = [(1, " ".join(base), None)]
