@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import cut, spread
 
-#: Ranks of one length are counted in so many parts, so that a length with a third of all documents is spread.
-PARTS = 64
+#: A task ranks about so many items of one length; a length with more of them is dealt over more tasks.
+PART_ITEMS = 50_000
+#: Up to so many parts, their offsets are broadcast.
+MOST_BROADCAST = 200_000
 #: Fixed value: the pre-split of a public tokenizer.
 PRE_SPLIT = r"""'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 _PRE = re.compile(PRE_SPLIT)
@@ -85,7 +87,7 @@ def _placer(keys: np.ndarray, packs: np.ndarray, plan_index: dict[int, int]):
     return run
 
 
-def pack(sizes: DataFrame, plans: DataFrame) -> DataFrame:
+def pack(sizes: DataFrame, plans: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
     """plan_id, container, doc_id, piece, start, length: each document (doc_id, n) in a container of each plan (plan_id, capacity).
 
     A document of more tokens than the capacity is cut into pieces of the capacity and a rest, start being the first
@@ -95,26 +97,38 @@ def pack(sizes: DataFrame, plans: DataFrame) -> DataFrame:
     Only the histogram of lengths, at most a row per length up to the capacity, comes to the driver; documents are
     joined to their packs by their rank among those of equal length.
     """
+    sizes = cut(sizes.select("doc_id", "n"))  # the texts are read and counted once
     caps = {r["plan_id"]: int(r["capacity"]) for r in plans.filter("capacity > 0").select("plan_id", "capacity").distinct().collect()}
     each = F.array(*[F.struct(F.lit(p).cast("int").alias("plan_id"), F.lit(c).cast("long").alias("capacity")) for p, c in sorted(caps.items())]).cast("array<struct<plan_id:int,capacity:bigint>>")
     items = sizes.select("doc_id", "n", F.explode(each).alias("plan")).select("doc_id", "n", "plan.plan_id", "plan.capacity")
     last = F.greatest(F.lit(0), F.floor((F.col("n") - 1) / F.col("capacity")).cast("int"))
     items = items.select("plan_id", "doc_id", "n", "capacity", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     items = items.withColumn("start", F.col("piece") * F.col("capacity")).withColumn("length", F.least(F.col("capacity"), F.col("n") - F.col("start"))).select("plan_id", "doc_id", "piece", "start", "length")
-    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
-    parts = items.groupBy("plan_id", "length", "part").agg(F.count("*").alias("c"))
-    offsets = parts.withColumn("offset", F.sum("c").over(Window.partitionBy("plan_id", "length").orderBy("part")) - F.col("c")).drop("c")
-    placed = []
-    for p, cap in sorted(caps.items()):
-        hist = {r["length"]: r["c"] for r in parts.filter(F.col("plan_id") == p).groupBy("length").agg(F.sum("c").alias("c")).collect()}
-        placed += [(p, *x) for x in plan_packs(hist, cap)[0]]
+    hists: dict[int, dict[int, int]] = {p: {} for p in caps}
+    for r in items.groupBy("plan_id", "length").agg(F.count("*").alias("c")).collect():
+        hists[r["plan_id"]][r["length"]] = r["c"]
+    placed = [(p, *x) for p, cap in sorted(caps.items()) for x in plan_packs(hists[p], cap)[0]]
+    # Lengths with more items than a task ranks; each is dealt by a hash over as many parts as that takes.
+    hot = [(p, length, -(-c // part_items)) for p, h in hists.items() for length, c in h.items() if c > part_items]
+    items = items.withColumn("part", F.lit(0))
+    offsets = None
+    if hot:
+        # At most a row per length and plan.
+        dealt = items.drop("part").join(F.broadcast(sizes.sparkSession.createDataFrame(hot, "plan_id int, length long, parts int")), ["plan_id", "length"], "left")
+        items = dealt.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
+        sums = items.groupBy("plan_id", "length", "part").agg(F.count("*").alias("c"))
+        offsets = sums.withColumn("offset", F.sum("c").over(Window.partitionBy("plan_id", "length").orderBy("part")) - F.col("c")).filter("offset > 0").drop("c")
+        if sum(n for *_, n in hot) <= MOST_BROADCAST:
+            offsets = F.broadcast(offsets)
     index = {p: i for i, p in enumerate(sorted(caps))}
     keys = np.array([(index[p], length, rank) for p, length, rank, _, _ in placed], dtype=[("plan", "i8"), ("length", "i8"), ("rank", "i8")])
     packs = np.array([first for *_, first, _ in placed], dtype=np.int64)
     order = np.argsort(keys, order=("plan", "length", "rank"))
     own = F.row_number().over(Window.partitionBy("plan_id", "length", "part").orderBy("doc_id", "piece", "start")) - 1
-    # Offsets have at most PARTS rows per length and plan.
-    ranked = items.withColumn("own", own).join(F.broadcast(offsets), ["plan_id", "length", "part"]).withColumn("rank", (F.col("own") + F.col("offset")).cast("long"))
+    ranked = items.withColumn("own", own)
+    if offsets is not None:
+        ranked = ranked.join(offsets, ["plan_id", "length", "part"], "left")
+    ranked = ranked.withColumn("rank", (F.col("own") + (F.coalesce("offset", F.lit(0)) if offsets is not None else 0)).cast("long"))
     return ranked.select("plan_id", "doc_id", "piece", "start", "length", "rank").mapInArrow(_placer(keys[order], packs[order], index), "plan_id int, doc_id long, piece int, start long, length long, container long")
 
 

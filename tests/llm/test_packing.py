@@ -2,6 +2,7 @@ import bisect
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -35,12 +36,13 @@ def test_plan(histogram, capacity):
     assert sum(2 * v <= capacity for v in fill.values()) <= 1
 
 
-def test_operator(spark):
+@pytest.mark.parametrize("part_items", [50_000, 7])
+def test_operator(spark, part_items):
     rnd = random.Random(3)
     docs = [(i, None, 40 if i % 3 == 0 else rnd.randrange(1, 150)) for i in range(300)] + [(900, "a b", None), (901, None, None), (902, "", None), (903, "x", -1), (904, None, 1000), (900, "a b", 7)]
     df = spark.createDataFrame([(*d, "clash", 1) for d in docs], D)
     plans = spark.createDataFrame([(1, 100), (2, 500), (3, None), (4, 0), (1, 100)], "plan_id int, capacity int")
-    rows = pk.pack(pk.sized(df), plans).collect()
+    rows = pk.pack(pk.sized(df), plans, part_items).collect()
     sizes = Counter({(d, n if n is not None and n >= 0 else len(t.split()) if t else 0): 1 for d, t, n in docs})
     for plan, cap in ((1, 100), (2, 500)):
         fill, pieces = Counter(), defaultdict(list)
