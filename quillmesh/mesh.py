@@ -12,7 +12,8 @@ from .runtime import blank, table
 
 @dataclass(frozen=True)
 class Mesh:
-    """nodes, edges, tags, history, docs, sections, verification and current (the state last seen on disk).
+    """nodes, edges, tags, history, docs, sections, verification, current (the state last seen on disk) and, once there are
+    any, renames (old_id, new_id, renamed_at, file_path).
 
     Operators take a Mesh or single tables and return DataFrames; mutations return a new Mesh.
     """
@@ -25,16 +26,16 @@ class Mesh:
     sections: DataFrame
     verification: DataFrame
     current: DataFrame
+    renames: DataFrame | None = None
 
     def but(self, **tables: DataFrame) -> Mesh:
         return replace(self, **tables)
 
 
 def latest_nodes(nodes: DataFrame) -> DataFrame:
-    """The last delivery of each id."""
-    rest = [c for c in nodes.columns if c not in ("id", "loaded_at")]
-    last = F.max_by(F.struct(*rest), F.struct("loaded_at", "updated_at", "code_hash"))
-    return nodes.filter("id is not null").groupBy("id").agg(last.alias("x")).select("id", "x.*")
+    """The last delivery of each id. As a window, so that only the columns in use are shuffled, a row per id and task."""
+    w = Window.partitionBy("id").orderBy(F.desc("loaded_at"), F.desc("updated_at"), F.desc("code_hash"))
+    return nodes.filter("id is not null").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "loaded_at")
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:

@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..mesh import Mesh
-from ..runtime import cut, release
+from ..runtime import FRAGMENT_ROWS, Heavy, cut, release, salted_join
 from ..schema import LINK, OWN, severity
 
 MOST_LEVELS = 32
 
 
-def grow(start: DataFrame, key: list[str], step: Callable[[DataFrame], DataFrame], levels: int = MOST_LEVELS) -> DataFrame:
+def grow(start: DataFrame, key: list[str], step: Callable[[DataFrame], DataFrame], levels: int | None = MOST_LEVELS) -> DataFrame:
     """All rows reachable from start by step, each key once, at its first level (column level, 0 for start).
 
     Only rows found in the last round go into the next one; a round's rows are written, so that plans stay short and
-    survive lost executors. Ends when a round finds nothing new or after `levels` rounds.
+    survive lost executors. Ends when a round finds nothing new or after `levels` rounds, if given.
     """
     seen = cut(start.select(*key).distinct().withColumn("level", F.lit(0)))
     front = seen
-    for level in range(1, levels + 1):
+    for level in count(1) if levels is None else range(1, levels + 1):
         new = step(front.select(*key)).select(*key).distinct().join(seen.select(*key), key, "left_anti")
         new = cut(new.withColumn("level", F.lit(level)))
         if new.isEmpty():
@@ -70,55 +74,119 @@ def task_hops(m: Mesh) -> DataFrame:
     return steps.join(to, "step").select("env", "task").distinct().join(up, "task", "left")
 
 
-def reachable_tasks(m: Mesh, envelopes: DataFrame) -> DataFrame:
-    """env, task: tasks each envelope reaches through its autosteps, their targets and those targets' envelopes."""
+def delegating(m: Mesh) -> DataFrame:
+    """id, updated_at of workflow and task envelopes."""
+    return m.nodes.filter("node_type = 'composite_process' and subtype in ('workflow', 'task')").select("id", "updated_at")
+
+
+def reachable_tasks(m: Mesh, envelopes: DataFrame, levels: int | None = MOST_LEVELS) -> DataFrame:
+    """env, task: tasks each envelope reaches through its autosteps, their targets and those targets' envelopes, over at most
+    `levels` delegations (None: however many there are)."""
     hops = cut(task_hops(m))
     nxt = hops.filter("nxt is not null").select("env", "nxt").distinct()
     start = envelopes.select(F.col("id").alias("env"), F.col("id").alias("at"))
-    near = grow(start, ["env", "at"], lambda f: f.join(nxt.select(F.col("env").alias("at"), "nxt"), "at").select("env", F.col("nxt").alias("at")), MOST_LEVELS - 1)
+    near = grow(start, ["env", "at"], lambda f: f.join(nxt.select(F.col("env").alias("at"), "nxt"), "at").select("env", F.col("nxt").alias("at")), levels and levels - 1)
     return near.join(hops.select(F.col("env").alias("at"), "task").distinct(), "at").select("env", "task").distinct()
 
 
-def stale_by_delegation(m: Mesh, changes: DataFrame) -> DataFrame:
-    """id, via: workflow and task envelopes that reach a task whose code changed after the envelope was updated."""
-    env = m.nodes.filter("node_type = 'composite_process' and subtype in ('workflow', 'task')").select("id", "updated_at")
-    hit = reachable_tasks(m, env).join(changes, F.col("task") == F.col("node_id")).join(env.withColumnRenamed("id", "env"), "env")
+def stale_by_delegation(m: Mesh, changes: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """id, via: workflow and task envelopes that reach (reach: env, task) a task whose code changed after the envelope was
+    updated."""
+    env = delegating(m)
+    hit = (reachable_tasks(m, env) if reach is None else reach).join(changes, F.col("task") == F.col("node_id")).join(env.withColumnRenamed("id", "env"), "env")
     return hit.filter("changed_at > updated_at").select(F.col("env").alias("id"), F.col("task").alias("via"))
 
 
-def inherit(m: Mesh, statuses: DataFrame, levels: int = 10_000) -> DataFrame:
+#: kind: P a waiting parent with its own severities and the worst so far below it, E an edge between two such, D a settled one.
+_WAITING = "kind string, id string, child string, own int, link int, wo int, wl int, atomic boolean"
+_WAITING_ARROW = pa.schema([("kind", pa.string()), ("id", pa.string()), ("child", pa.string()), *[(c, pa.int32()) for c in ("own", "link", "wo", "wl")], ("atomic", pa.bool_())])
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settle the parents of one fragment whose children are settled, in the order from the leaves up."""
+    parents: dict[str, list] = {}
+    edges: list[tuple[str, str]] = []
+    for b in batches:
+        for kind, id_, child, *rest in zip(*(b.column(c).to_pylist() for c in _WAITING_ARROW.names), strict=True):
+            if kind == "P":
+                parents[id_] = rest
+            else:
+                edges.append((id_, child))
+    left = Counter(p for p, _ in edges)
+    up: dict[str, list[str]] = defaultdict(list)
+    for p, c in edges:
+        if c in parents:
+            up[c].append(p)
+    ready = [p for p in parents if not left[p]]
+    done: dict[str, tuple[int, int]] = {}
+    while ready:
+        p = ready.pop()
+        own, _, wo, wl, atomic = parents[p]
+        done[p] = (own, max(wl, 1) if wo or wl else wl) if atomic else (wo, wl)
+        for q in up[p]:
+            parents[q][2], parents[q][3] = max(parents[q][2], done[p][0]), max(parents[q][3], done[p][1])
+            left[q] -= 1
+            if not left[q]:
+                ready.append(q)
+    rows = [("D", p, None, o, w, None, None, None) for p, (o, w) in done.items()]
+    rows += [("P", p, None, *v) for p, v in parents.items() if p not in done]
+    rows += [("E", p, c, None, None, None, None, None) for p, c in edges if p not in done and c not in done]
+    for i in range(0, len(rows), 1 << 14):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + (1 << 14)], strict=True), _WAITING_ARROW.types, strict=True)], schema=_WAITING_ARROW)
+
+
+def inherit(m: Mesh, statuses: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
     """id, own, link (severities) after composites took the worst of their children, from the leaves up.
 
     A composite takes the worst own and link severity of itself and its children. An atomic parent keeps its own; its link
     takes the worst link, and is stale at least if anything in or under it isn't verified. Nodes in and above circles of
     composes edges keep what they had. statuses: id, own, link; ids without a row count as 0.
+
+    What leaves say is aggregated per parent first. The edges between parents are dealt in sorted ranges of fragment_rows,
+    each settled by one task as far as it goes; what the fragments need of each other is joined, and the rest goes round
+    again until nothing is settled any more. Parents with more children than a fragment are settled by the joins alone.
     """
-    edges = cut(m.edges.filter("edge_type = 'composes'").select(F.col("from_id").alias("parent"), F.col("to_id").alias("child")))
-    types = m.nodes.select(F.col("id").alias("parent"), "node_type")
-    parents = edges.select("parent").distinct().join(types, "parent", "left")
-    base = parents.join(statuses.select(F.col("id").alias("parent"), "own", "link"), "parent", "left").fillna(0, ["own", "link"])
-    # Leaves are what they are; each round settles the parents all of whose children are settled.
-    leaves = edges.select(F.col("child").alias("id")).distinct().join(parents.select(F.col("parent").alias("id")), "id", "left_anti")
-    done = leaves.join(statuses, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("link", F.lit(0)).alias("link"))
-    fresh = cut(done)
-    open_edges = edges
-    waiting = cut(base.join(edges.groupBy("parent").agg(F.count("*").alias("left")), "parent").withColumn("wo", F.col("own")).withColumn("wl", F.col("link")))
-    settled = statuses.sparkSession.createDataFrame([], "id string, own int, link int")
-    for _ in range(levels):
-        up = open_edges.join(fresh.withColumnRenamed("id", "child"), "child").groupBy("parent").agg(F.max("own").alias("co"), F.max("link").alias("cl"), F.count("*").alias("c"))
-        now = waiting.join(up, "parent", "left").select("parent", "node_type", "own", "link", (F.col("left") - F.coalesce("c", F.lit(0))).alias("left"), F.greatest("wo", F.coalesce("co", F.lit(0))).alias("wo"), F.greatest("wl", F.coalesce("cl", F.lit(0))).alias("wl"))
-        now = cut(now)
-        ready = now.filter("left = 0")
-        atomic = F.col("node_type").eqNullSafe("atomic_process")
-        worse = (F.col("wo") > 0) | (F.col("wl") > 0)
-        got = ready.select(F.col("parent").alias("id"), F.when(atomic, F.col("own")).otherwise(F.col("wo")).cast("int").alias("own"), F.when(atomic & worse, F.greatest("wl", F.lit(1))).otherwise(F.col("wl")).cast("int").alias("link"))
-        if ready.isEmpty():
+    zero = lambda *cs: [F.coalesce(F.col(c), F.lit(0)).cast("int") for c in cs]
+    edges = cut(m.edges.filter("edge_type = 'composes'").select(F.col("from_id").alias("id"), F.col("to_id").alias("child")))
+    told = cut(statuses.select("id", "own", "link"))
+    inner = edges.join(edges.select(F.col("id").alias("child")).distinct(), "child", "left_semi").select("id", "child")
+    leaves = edges.join(edges.select(F.col("id").alias("child")).distinct(), "child", "left_anti")
+    worst = leaves.join(told.withColumnRenamed("id", "child"), "child").groupBy("id").agg(F.max("own").alias("co"), F.max("link").alias("cl"))
+    o, link = zero("own", "link")
+    co, cl = zero("co", "cl")
+    waiting = edges.select("id").distinct().join(m.nodes.select("id", "node_type"), "id", "left").join(told, "id", "left").join(worst, "id", "left")
+    waiting = waiting.select(F.lit("P").alias("kind"), "id", F.lit(None).cast("string").alias("child"), o.alias("own"), link.alias("link"), F.greatest(o, co).alias("wo"), F.greatest(link, cl).alias("wl"), F.col("node_type").eqNullSafe("atomic_process").alias("atomic"))
+    none = [F.lit(None).cast("int").alias(c) for c in ("own", "link", "wo", "wl")]
+    state = cut(waiting.unionByName(inner.select(F.lit("E").alias("kind"), "id", "child", *none, F.lit(None).cast("boolean").alias("atomic"))))
+    settled: list[DataFrame] = []
+    while True:
+        n = state.count()
+        pieces = math.ceil(n / fragment_rows)
+        big = state.limit(0).select("id") if n <= fragment_rows else state.filter("kind = 'E'").groupBy("id").count().filter(F.col("count") > fragment_rows).select("id")
+        kept = state.join(F.broadcast(big), "id", "left_semi").select(*state.columns) if pieces > 1 else None  # at most n / fragment_rows ids
+        local = state if kept is None else state.join(F.broadcast(big), "id", "left_anti").select(*state.columns)
+        local = local.repartitionByRange(pieces, "id") if pieces > 1 else local.coalesce(1)
+        out = local.mapInArrow(_settle, _WAITING)
+        if kept is not None:
+            lone = kept.join(kept.filter("kind = 'E'").select("id").distinct(), "id", "left_anti")
+            worse = (F.col("wo") > 0) | (F.col("wl") > 0)
+            by_join = lone.select(F.lit("D").alias("kind"), "id", "child", F.when(F.col("atomic"), F.col("own")).otherwise(F.col("wo")).alias("own"), F.when(F.col("atomic") & worse, F.greatest("wl", F.lit(1))).otherwise(F.col("wl")).alias("link"), *none[2:], "atomic")
+            out = out.unionByName(by_join).unionByName(kept.join(lone.select("id"), "id", "left_anti").select(*state.columns))
+        out = cut(out)
+        fresh = out.filter("kind = 'D'").select("id", "own", "link")
+        settled.append(fresh)
+        open_ = out.filter("kind = 'E'").select("id", "child")
+        if open_.isEmpty() or fresh.isEmpty():
+            break
+        heavy = Heavy(open_.groupBy("child").agg(F.count("*").alias("n")), "child", "n")
+        told_now = cut(salted_join(open_, fresh.select(F.col("id").alias("child"), F.col("own").alias("co"), F.col("link").alias("cl")), "child", heavy, F.col("id"), "left"))
+        news = told_now.filter("co is not null").groupBy("id").agg(F.max("co").alias("co"), F.max("cl").alias("cl"))
+        parents = out.filter("kind = 'P'").join(news, "id", "left").withColumn("wo", F.greatest("wo", co)).withColumn("wl", F.greatest("wl", cl)).select(*state.columns)
+        state = cut(parents.unionByName(told_now.filter("co is null").select(F.lit("E").alias("kind"), "id", "child", *none, F.lit(None).cast("boolean").alias("atomic"))))
+        if told_now.filter("co is not null").isEmpty():
             break
-        release(waiting)
-        waiting, fresh = now.filter("left > 0"), got
-        settled = settled.unionByName(got)
-    final = settled.select("id", F.col("own").alias("o"), F.col("link").alias("l"))
-    return statuses.select("id", "own", "link").join(final, "id", "full_outer").select("id", F.coalesce("o", "own").cast("int").alias("own"), F.coalesce("l", "link").cast("int").alias("link"))
+    final = reduce(DataFrame.unionByName, settled).select("id", F.col("own").alias("o"), F.col("link").alias("l"))
+    return told.join(final, "id", "full_outer").select("id", F.coalesce("o", "own").cast("int").alias("own"), F.coalesce("l", "link").cast("int").alias("link"))
 
 
 def expanded_steps(m: Mesh, levels: int | None = None) -> DataFrame:

@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import Heavy, blank, cut, parallelism, salted_join
-
-#: Links that one task holds in memory; a forest of no more is solved in one piece.
-FRAGMENT_ROWS = 250_000
+from ..runtime import FRAGMENT_ROWS, Heavy, blank, cut, parallelism, salted_join
 
 #: node: the id. ptr: the nearest ancestor not yet followed, null once the root is known. w: steps to ptr, or to the root.
 #: low: the smallest id from node up to before ptr. root: the root, or the smallest id of the circle. circle: root is one

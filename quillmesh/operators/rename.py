@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..mesh import Mesh
+from . import mutations
+
 POOL_CAP = 50
 THRESHOLD = 0.6
 #: So many lost and so many found nodes are compared by one task.
 BLOCK = 200
+RENAMES = "old_id string, new_id string, renamed_at timestamp, file_path string"
+RENAMES_COLUMNS = ("old_id", "new_id", "renamed_at", "file_path")
 
 
 def body_ratio(old: str | None, new: str | None) -> float:
@@ -96,12 +101,6 @@ def match(lost: DataFrame, found: DataFrame, pool_cap: int | None = POOL_CAP, th
     return lost.select(F.col("id").alias("old_id")).join(matched, "old_id", "left").join(why.withColumnRenamed("id", "old_id"), "old_id", "left").select("old_id", "new_id", "ratio", "reason")
 
 
-def ratios(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas: body_ratio of the columns a and b."""
-    for x in pairs:
-        yield x.assign(ratio=[body_ratio(a, b) for a, b in zip(x["a"], x["b"], strict=True)])
-
-
 def lost_and_found(nodes: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ids that only earlier snapshots hold, and nodes that no snapshot holds, in the shape match() takes; the scope is the
     file (location), or the project where none is known. No table tells which files were renamed, so none are joined."""
@@ -111,6 +110,54 @@ def lost_and_found(nodes: DataFrame, current: DataFrame) -> tuple[DataFrame, Dat
     return lost, found
 
 
-def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key: a duplicate step number or edge counts where it first stands."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_rn = 1").drop("_rn")
+def renames_of(m: Mesh) -> DataFrame:
+    return m.renames if m.renames is not None else m.nodes.sparkSession.createDataFrame([], RENAMES)
+
+
+def apply_renames(m: Mesh, pairs: DataFrame, at: datetime) -> tuple[Mesh, DataFrame]:
+    """Weld pairs (old_id, new_id) that the matcher missed: the index after it, and for each pair applied or the reason why not.
+
+    The old node must be lost (NOT_FOUND), the new one live, and neither may have been renamed before. Of pairs with an end
+    in common the first by (old_id, new_id) counts. What is known of the old node moves to the new one, which is RENAMED
+    from then on, and the mapping is kept in renames.
+    """
+    want = pairs.select("old_id", "new_id").distinct()
+    a = m.nodes.select(F.col("id").alias("old_id"), F.col("own_status").alias("old_status"))
+    b = m.nodes.select(F.col("id").alias("new_id"), F.col("own_status").alias("new_status"), "location")
+    done = renames_of(m)
+    told = want.join(a, "old_id", "left").join(b, "new_id", "left")
+    told = told.join(done.select("new_id", F.lit(True).alias("taken")).distinct(), "new_id", "left").join(done.select("old_id", F.lit(True).alias("left")).distinct(), "old_id", "left")
+    reason = (
+        F.when(F.col("old_id") == F.col("new_id"), "same_id").when(F.col("old_status").isNull(), "old_not_in_index").when(F.col("new_status").isNull(), "new_not_in_index")
+        .when(F.col("old_status") != "NOT_FOUND", F.concat(F.lit("old_status_"), "old_status")).when(F.col("new_status") == "NOT_FOUND", "new_not_live")
+        .when(F.col("taken"), "new_already_renamed").when(F.col("left"), "old_already_renamed")
+    )
+    told = told.withColumn("reason", reason)
+    free = told.filter("reason is null")
+    firsts = free.groupBy("new_id").agg(F.min("old_id").alias("old_id")).groupBy("old_id").agg(F.min("new_id").alias("new_id"))
+    ok = free.join(firsts, ["old_id", "new_id"], "left_semi")
+    rest = told.join(firsts.withColumn("won", F.lit(True)), ["old_id", "new_id"], "left")
+    lost = F.when(F.col("reason").isNull() & F.col("won").isNull(), "already_renamed").otherwise(F.col("reason"))
+    result = rest.select("old_id", "new_id", (F.col("reason").isNull() & F.col("won").isNotNull()).alias("applied"), lost.alias("reason"))
+    out = mutations.rename(m, ok.select("old_id", "new_id"))
+    moved = ok.select(F.col("new_id").alias("id"), F.lit("RENAMED").alias("own_status"), F.lit(None).cast("string").alias("link_status"))
+    event = ok.filter("new_status <> 'RENAMED'").select(F.col("new_id").alias("node_id"), F.lit(at).cast("timestamp").alias("scanned_at"), F.lit("BECAME_RENAMED").alias("change_type"), F.to_json(F.struct(F.col("new_status").alias("from_own"), F.lit(True).alias("manual"))).alias("meta"))
+    out = mutations.set_statuses(out, moved)
+    more = ok.select("old_id", "new_id", F.lit(at).cast("timestamp").alias("renamed_at"), F.coalesce("location", F.lit("")).alias("file_path"))
+    return out.but(history=out.history.unionByName(mutations.events(event, out.history)), renames=done.unionByName(more)), result
+
+
+def revert_renames(m: Mesh, new_ids: DataFrame, at: datetime) -> tuple[Mesh, DataFrame]:
+    """Take renames back by moving everything again from the new id (new_id) to the old one: the index after it, and for each
+    id the old one, or no_rename_record. Both nodes are verified afterwards, and the mapping is gone."""
+    last = renames_of(m).groupBy("new_id").agg(F.max_by("old_id", F.struct("renamed_at", "old_id")).alias("old_id"))
+    told = new_ids.select("new_id").distinct().join(last, "new_id", "left")
+    ok = told.filter("old_id is not null")
+    out = mutations.rename(m, ok.select(F.col("new_id").alias("old_id"), F.col("old_id").alias("new_id")))
+    both = ok.select(F.col("old_id").alias("id")).unionByName(ok.select(F.col("new_id").alias("id"))).distinct()
+    out = mutations.set_statuses(out, both.select("id", F.lit("VERIFIED").alias("own_status"), F.lit("VERIFIED").alias("link_status")))
+    live = ok.join(m.nodes.select(F.col("id").alias("old_id")), "old_id", "left_semi")
+    event = live.select(F.col("old_id").alias("node_id"), F.lit(at).cast("timestamp").alias("scanned_at"), F.lit("BECAME_VERIFIED").alias("change_type"), F.to_json(F.struct(F.col("new_id").alias("reverted_from"))).alias("meta"))
+    rest = renames_of(m).join(ok, ["old_id", "new_id"], "left_anti").select(*RENAMES_COLUMNS)
+    result = told.select("new_id", "old_id", F.col("old_id").isNotNull().alias("reverted"), F.when(F.col("old_id").isNull(), "no_rename_record").alias("reason"))
+    return out.but(history=out.history.unionByName(mutations.events(event, out.history)), renames=rest), result

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..mesh import Mesh
 from ..runtime import cut
-from ..schema import LINK, OWN, severity, status_of
+from ..schema import CODE_OR_DESC_CHANGES, LINK, OWN, severity, status_of
 from . import drift, graph
 from .history import latest_change, latest_change_times
 from .inventory import sections_of_docs_with_tags
@@ -35,6 +35,14 @@ def own_statuses(m: Mesh) -> DataFrame:
     return n.select("id", own.cast("int").alias("own"), F.coalesce("cur_code", F.lower("code_hash")).alias("seen_code"), F.when(F.col("gone").isNotNull(), F.col("cur_desc")).otherwise(F.lower("desc_hash")).alias("seen_desc"))
 
 
+def narrowed(m: Mesh) -> Mesh:
+    """The columns that statuses are made of, written once: the operators below read them many times."""
+    nodes = cut(m.nodes.select("id", "node_type", "subtype", "code_hash", "desc_hash", "own_status", "link_status", "updated_at"))
+    edges = cut(m.edges.select("id", "edge_type", "from_id", "to_id"))
+    history = cut(m.history.filter(F.col("change_type").isin(*CODE_OR_DESC_CHANGES)).select("id", "node_id", "change_type", "scanned_at"))
+    return m.but(nodes=nodes, edges=edges, history=history, sections=cut(m.sections.select("id", "doc_id", "heading")), docs=cut(m.docs.select("id", "tags")))
+
+
 def linked_stale(m: Mesh, transitive_tags: Collection[str] = (), frozen_tags: Collection[str] = ()) -> DataFrame:
     """id, via: nodes whose links are stale, a row per cause.
 
@@ -43,11 +51,16 @@ def linked_stale(m: Mesh, transitive_tags: Collection[str] = (), frozen_tags: Co
     Then sections of docs with a transitive tag become stale through stale sections they document. Sections of docs with a
     frozen tag never become stale by their own or by transitive links.
     """
+    m = narrowed(m)
+    return _linked_stale(m, graph.reachable_tasks(m, graph.delegating(m)), transitive_tags, frozen_tags)
+
+
+def _linked_stale(m: Mesh, reach: DataFrame, transitive_tags: Collection[str], frozen_tags: Collection[str]) -> DataFrame:
     frozen = sections_of_docs_with_tags(m, frozen_tags).select("id")
     sec = drift.stale_sections(m).select("id", "via")
     if frozen_tags:
         sec = sec.join(frozen, "id", "left_anti")
-    causes = sec.unionByName(drift.stale_tests(m).select("id", "via")).unionByName(drift.stale_annotated(m).select("id", "via")).unionByName(graph.stale_by_delegation(m, latest_change(m.history)))
+    causes = sec.unionByName(drift.stale_tests(m).select("id", "via")).unionByName(drift.stale_annotated(m).select("id", "via")).unionByName(graph.stale_by_delegation(m, latest_change(m.history), reach))
     causes = causes.distinct()
     last = latest_change_times(m.history)
     at = causes.join(last, causes.via == last.node_id, "left").groupBy("id").agg(F.max("changed_at").alias("latest"))
@@ -59,32 +72,42 @@ def linked_stale(m: Mesh, transitive_tags: Collection[str] = (), frozen_tags: Co
     if frozen_tags:
         hops = hops.join(frozen.withColumnRenamed("id", "src"), "src", "left_anti")
     hops = cut(hops)
-    stale = graph.grow(direct.select("id"), ["id"], lambda f: f.join(hops, f.id == hops.tgt).select(F.col("src").alias("id")), 10_000)
+    stale = graph.grow(direct.select("id"), ["id"], lambda f: f.join(hops, f.id == hops.tgt).select(F.col("src").alias("id")), None)
     more = hops.join(stale.select(F.col("id").alias("tgt")), "tgt").select(F.col("src").alias("id"), F.col("tgt").alias("via"))
     return direct.unionByName(more).distinct()
 
 
-def statuses(m: Mesh, transitive_tags: Collection[str] = ("consumer",), frozen_tags: Collection[str] = ("frozen",)) -> DataFrame:
+def statuses(m: Mesh, transitive_tags: Collection[str] = ("consumer",), frozen_tags: Collection[str] = ("frozen",), renamed: DataFrame | None = None) -> DataFrame:
     """id, own_status, link_status of every node: own states, stale links, those of envelopes whose targets have drifted just
-    now, inheritance by composites, promotion by verification, then broken links."""
+    now, inheritance by composites, promotion by verification, broken links, then renames.
+
+    A node that is stored as RENAMED stays so unless it is lost: no hash tells of a rename. renamed (id) adds those of
+    this build.
+    """
+    m = narrowed(m)
     own = cut(own_statuses(m))
-    stale = linked_stale(m, transitive_tags, frozen_tags).select("id").distinct()
+    ann = m.edges.filter("edge_type = 'annotates'")
+    starts = graph.delegating(m)
+    reach = cut(graph.reachable_tasks(m, starts.select("id").union(ann.select("from_id")).distinct()))
+    stale = _linked_stale(m, reach, transitive_tags, frozen_tags).select("id").distinct()
     kept = m.nodes.filter("link_status = 'LINKED_STALE'").join(sections_of_docs_with_tags(m, frozen_tags), "id", "left_semi").select("id")
     drifted = own.filter("own in (1, 2, 4)").select(F.col("id").alias("to_id"))
-    ann = m.edges.filter("edge_type = 'annotates'")
     fresh = ann.join(drifted, "to_id", "left_semi").select(F.col("from_id").alias("id"))
     code = own.filter("own in (2, 4)").select(F.col("id").alias("task"))
-    fresh = fresh.unionByName(graph.reachable_tasks(m, ann.select(F.col("from_id").alias("id")).distinct()).join(code, "task", "left_semi").select(F.col("env").alias("id")))
+    fresh = fresh.unionByName(reach.join(ann.select(F.col("from_id").alias("env")), "env", "left_semi").join(code, "task", "left_semi").select(F.col("env").alias("id")))
     linked = stale.unionByName(kept).unionByName(fresh).distinct().withColumn("link", F.lit(1))
     base = own.select("id", F.coalesce("own", F.lit(0)).alias("own")).join(linked, "id", "left").fillna(0, ["link"])
-    got = graph.inherit(m, cut(base)).join(own.select("id", "seen_code", "seen_desc"), "id")
+    got = graph.inherit(m, base).join(own.select("id", "seen_code", "seen_desc"), "id")
     v = m.verification.groupBy(F.col("node_id").alias("id")).agg(F.max_by(F.struct("code_hash_at", "desc_hash_at"), "verified_at").alias("at"))
     got = got.join(v, "id", "left")
     same_code, same_desc = F.lower("at.code_hash_at").eqNullSafe(F.col("seen_code")), F.lower("at.desc_hash_at").eqNullSafe(F.col("seen_desc"))
     promoted = F.when(F.col("own").isin(1, 2) & F.col("at").isNotNull() & F.col("seen_code").isNotNull(), F.when(same_code & same_desc, 0).when(~same_code, 2).otherwise(1)).otherwise(F.col("own"))
     broken = drift.broken_links(m).select("id", F.lit(2).alias("b"))
-    out = got.withColumn("own", promoted).join(broken, "id", "left").withColumn("link", F.greatest("link", F.coalesce("b", F.lit(0))))
-    return out.select("id", status_of(F.col("own"), OWN).alias("own_status"), status_of(F.col("link"), LINK).alias("link_status"))
+    sticky = m.nodes.filter("own_status = 'RENAMED'").select("id")
+    sticky = (sticky if renamed is None else sticky.unionByName(renamed.select("id"))).distinct().withColumn("moved", F.lit(True))
+    out = got.withColumn("own", promoted).join(broken, "id", "left").join(sticky, "id", "left")
+    own_now = F.when(F.col("moved") & (F.col("own") != OWN.index("NOT_FOUND")), OWN.index("RENAMED")).otherwise(F.col("own"))
+    return out.select("id", status_of(own_now, OWN).alias("own_status"), status_of(F.greatest("link", F.coalesce("b", F.lit(0))), LINK).alias("link_status"))
 
 
 def transitions(old: DataFrame, new: DataFrame) -> DataFrame:

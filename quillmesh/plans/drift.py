@@ -104,7 +104,7 @@ lk AS (SELECT id FROM ls UNION SELECT id FROM nw UNION SELECT id FROM n WHERE li
 base AS (SELECT id, coalesce(own, 0) AS own, CASE WHEN id IN (SELECT id FROM lk) THEN 1 ELSE 0 END AS link FROM os), {_INHERIT},
 fin AS (SELECT os.id, CASE WHEN inh.own IN (1, 2) AND v.node_id IS NOT NULL AND seen_code IS NOT NULL THEN CASE WHEN lower(code_hash_at) IS NOT DISTINCT FROM seen_code AND lower(desc_hash_at) IS NOT DISTINCT FROM seen_desc THEN 0 WHEN lower(code_hash_at) IS DISTINCT FROM seen_code THEN 2 ELSE 1 END ELSE inh.own END AS o,
   greatest(inh.link, CASE WHEN br.id IS NOT NULL THEN 2 ELSE 0 END) AS l FROM os JOIN inh USING (id) LEFT JOIN v ON v.node_id = os.id LEFT JOIN br ON br.id = os.id),
-sta AS (SELECT id, own.s AS own_status, lnk.s AS link_status FROM fin JOIN own ON own.k = o JOIN lnk ON lnk.k = l)"""
+sta AS (SELECT id, CASE WHEN own.s <> 'NOT_FOUND' AND id IN (SELECT id FROM n WHERE own_status = 'RENAMED') THEN 'RENAMED' ELSE own.s END AS own_status, lnk.s AS link_status FROM fin JOIN own ON own.k = o JOIN lnk ON lnk.k = l)"""
 add("stl2_statuses", st.statuses, f"{_STATUS} SELECT * FROM sta", True)
 add("stl7_transitions", lambda m: st.transitions(m.nodes.select("id", "own_status", "link_status"), st.statuses(m)),
     f"""{_STATUS}, x AS (SELECT sta.id, CASE WHEN n.own_status <> sta.own_status THEN 'BECAME_' || sta.own_status END AS a, CASE WHEN n.link_status <> sta.link_status THEN CASE WHEN sta.link_status = 'VERIFIED' THEN 'LINK_BECAME_VERIFIED' ELSE 'BECAME_' || sta.link_status END END AS b FROM sta JOIN n USING (id))

@@ -17,6 +17,8 @@ HEAVY_ROWS = 20_000
 MOST_BROADCAST = 100_000
 #: Tasks that a row without a known key is dealt over when heavy keys are told by a join.
 SALTS = 32
+#: Links of a graph that one task holds in memory; a graph of no more is solved in one piece.
+FRAGMENT_ROWS = 250_000
 
 _written: list[tuple[SparkSession, str]] = []
 
