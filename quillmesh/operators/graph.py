@@ -191,7 +191,7 @@ def inherit(m: Mesh, statuses: DataFrame, fragment_rows: int = FRAGMENT_ROWS) ->
 
 def expanded_steps(m: Mesh, levels: int | None = None) -> DataFrame:
     """Steps of every workflow envelope, and in the place of a delegating step those of the envelope of its target:
-    root, path (dotted number), step, target, cyclic. A target already on the path is not entered again, which ends every
+    root, path (dotted number), step, target, inner (the envelope of the target), cyclic. A target already on the path is not entered again, which ends every
     chain; levels, if given, ends them sooner."""
     kinds = m.nodes.filter("subtype in ('step', 'autostep')").select(F.col("id").alias("step"))
     to = m.edges.filter("edge_type = 'delegates_to'").groupBy(F.col("from_id").alias("step")).agg(F.min("to_id").alias("target"))
@@ -210,7 +210,7 @@ def expanded_steps(m: Mesh, levels: int | None = None) -> DataFrame:
         if front.isEmpty():
             break
         rows = rows.unionByName(front)
-    return rows.select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "step", "target", "cyclic")
+    return rows.select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "step", "target", "inner", "cyclic")
 
 
 def machine_transitions(m: Mesh) -> DataFrame:

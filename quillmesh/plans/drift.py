@@ -117,7 +117,7 @@ add("gr1_khop_out", lambda m: gr.khop_edges(m, "heron0", "out", 3), "hp AS (SELE
 add("gr1_khop_in", lambda m: gr.khop_edges(m, "heron0", "in", 2), "hp AS (SELECT to_id AS src, from_id AS nxt FROM e), " + _HOPS.format(d=1) + " SELECT e.id, edge_type, from_id, to_id, min(level) + 1 AS hop FROM e JOIN f ON f.at = e.to_id GROUP BY ALL", True)
 add("gr3_neighbourhood", lambda m: gr.neighbourhood(m, "heron0", 2), "hp AS (SELECT from_id AS src, to_id AS nxt FROM e UNION ALL SELECT to_id, from_id FROM e), " + _HOPS.format(d=2) + " SELECT n.id, min(level) AS level, own_status, link_status FROM n JOIN f ON f.at = n.id GROUP BY ALL", True)
 add("gr4_node_edges", lambda m: m.edges.filter("from_id = 'heron0'").withColumn("way", F.lit("out")).unionByName(m.edges.filter("to_id = 'heron0'").withColumn("way", F.lit("in"))).select("id", "way"), "SELECT id, 'out' AS way FROM e WHERE from_id = 'heron0' UNION ALL SELECT id, 'in' FROM e WHERE to_id = 'heron0'")
-add("gr10_expanded_steps", gr.expanded_steps,
+add("gr10_expanded_steps", lambda m: gr.expanded_steps(m).drop("inner"),
     """k AS (SELECT id FROM n WHERE subtype IN ('step', 'autostep')), g AS (SELECT from_id AS step, min(to_id) AS target FROM e WHERE edge_type = 'delegates_to' GROUP BY 1), a AS (SELECT to_id AS target, min(from_id) AS "inner" FROM e WHERE edge_type = 'annotates' GROUP BY 1),
     o AS (SELECT c.from_id AS env, c.to_id AS step, regexp_extract(c.to_id, '::step-([0-9.]+)$', 1) AS no, target, "inner" FROM e c JOIN k ON k.id = c.to_id LEFT JOIN g ON g.step = c.to_id LEFT JOIN a USING (target) WHERE c.edge_type = 'composes'),
     x AS (SELECT n.id AS root, no AS path, step, target, "inner", [n.id] AS seen, coalesce("inner" = n.id, false) AS cyclic FROM n JOIN o ON o.env = n.id WHERE n.subtype = 'workflow'
