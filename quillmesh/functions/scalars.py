@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,18 +69,12 @@ def location_prefix(location: Column | str, depth: int = 2) -> Column:
     return F.when(F.size(parts) == 0, F.lit("(no-location)")).otherwise(F.array_join(F.slice(parts, 1, depth), "/"))
 
 
+_LIKE = {"*": "%", "?": "_", "%": r"\%", "_": r"\_", "\\": r"\\"}
+
+
 def glob_to_like(glob: str) -> str:
     """`*` and `**` match anything, `?` one character; the wild cards of LIKE are taken literally."""
-    out, i = [], 0
-    while i < len(glob):
-        if glob[i] == "*":
-            while glob[i + 1 : i + 2] == "*":
-                i += 1
-            out.append("%")
-        else:
-            out.append({"?": "_", "%": "\\%", "_": "\\_", "\\": "\\\\"}.get(glob[i], glob[i]))
-        i += 1
-    return "".join(out)
+    return re.sub(r"(?s)\*+|.", lambda m: _LIKE.get(m[0][0], m[0]), glob)
 
 
 def glob_to_regex(glob: str) -> str:
