@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as fn
 from ..mesh import SQL as MESH
 from ..mesh import open_mesh
 from ..operators import mutations as mu
@@ -24,6 +25,21 @@ add("sch1_words_docs", lambda m: se.keyword_search(m, "anchor", most=50, node_ty
     f"q AS (SELECT id FROM n WHERE list_has_all({_FTS}, ['anchor']) AND source IN ('docjson', 'doc_scanner', 'json_doc_scanner') AND node_type = 'atomic_process' AND id IN (SELECT node_id FROM t WHERE tag = 'spec')) SELECT id, 'fts' AS mode, (SELECT count(*) FROM q) AS total FROM q ORDER BY id LIMIT 50")
 add("sch1_parts", lambda m: se.keyword_search(m, "hash ueu", most=30), "q AS (SELECT id FROM n WHERE (level_1 ILIKE '%hash%' OR level_2 ILIKE '%hash%') AND (level_1 ILIKE '%ueu%' OR level_2 ILIKE '%ueu%')) SELECT id, 'like_and' AS mode, (SELECT count(*) FROM q) AS total FROM q ORDER BY id LIMIT 30")
 add("sch1_any", lambda m: se.keyword_search(m, "edger zzz", most=30), "q AS (SELECT id FROM n WHERE level_1 ILIKE '%edger%' OR level_2 ILIKE '%edger%' OR level_1 ILIKE '%zzz%' OR level_2 ILIKE '%zzz%') SELECT id, 'like_or' AS mode, (SELECT count(*) FROM q) AS total FROM q ORDER BY id LIMIT 10")
+def _sp(c: str) -> str:
+    return "' ' || array_to_string(regexp_split_to_array(lower(coalesce(" + c + ", '')), '[^\\p{L}\\p{N}]+'), ' ') || ' '"
+
+
+def _any(needle: str) -> str:
+    return "(" + " OR ".join(f"contains({_sp(c)}, '{needle}')" for c in ("id", "level_1", "level_2")) + ")"
+
+
+for _name, _q, _cond in (
+    ("phrase", '"one row" OR "the order"', f"{_any(' one row ')} OR {_any(' the order ')}"),
+    ("prefix", "snap* NOT level_1: walk*", f"{_any(' snap')} AND NOT contains({_sp('level_1')}, ' walk')"),
+    ("column", "level_2: cursor id: heron0", f"contains({_sp('level_2')}, ' cursor ') AND contains({_sp('id')}, ' heron0 ')"),
+):
+    add(f"sch1_{_name}", lambda m, q=_q: se.keyword_search(m, q, most=100_000), f"q AS (SELECT id FROM n WHERE {_cond}) SELECT id, 'fts' AS mode, (SELECT count(*) FROM q) AS total FROM q")
+add("srt6_search_page", lambda m: se.keyword_search(m, "marker", most=10, offset=20), f"q AS (SELECT id FROM n WHERE {_any(' marker ')}) SELECT id, 'fts' AS mode, (SELECT count(*) FROM q) AS total FROM q ORDER BY id LIMIT 10 OFFSET 20")
 add("sch1_token_index", se.token_index, """x AS (SELECT id, 'id' AS field, id AS txt FROM n UNION ALL SELECT id, 'level_1', level_1 FROM n UNION ALL SELECT id, 'level_2', level_2 FROM n),
 y AS (SELECT id, field, unnest(regexp_split_to_array(lower(coalesce(txt, '')), '[^\\p{L}\\p{N}]+')) AS token FROM x) SELECT token, id, field, count(*) AS tf FROM y WHERE token <> '' GROUP BY ALL""")
 
@@ -57,6 +73,26 @@ QUERIES["sch7_to_embed"] = _to_embed
 SQL["sch7_to_embed"] = f"WITH {MESH}, x AS (SELECT id, substr(sha256(coalesce(level_1, '') || chr(10) || coalesce(level_2, '')), 1, 16) AS content_hash FROM n) SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM embedding_hashes b WHERE b.node_id = x.id AND b.content_hash = x.content_hash)"
 
 
+def _vectored(spark: SparkSession, d: str) -> DataFrame:
+    """The stored vectors' first eight places, and stand-ins of eight for what they lack."""
+    m = open_mesh(spark, d)
+    stored = _vectors(spark, d).join(table(spark, d, "embedding_hashes"), "node_id").select("node_id", "content_hash", F.slice("vec", 1, 8).alias("vec"))
+    got = se.refresh_vectors(m, stored, lambda texts: se.stand_in(texts, 8))
+    return got.select("node_id", "content_hash", F.size("vec").alias("width"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
+
+
+QUERIES["snk22_refresh_vectors"] = _vectored
+_BYTE = "(instr('0123456789abcdef', substr(sha256(tx), {0}, 1)) - 1) * 16 + instr('0123456789abcdef', substr(sha256(tx), {1}, 1)) - 1"
+SQL["snk22_refresh_vectors"] = f"""WITH {MESH}, st AS (SELECT node_id, content_hash, list_sum(list_transform(vec[1:8], lambda v: v::DOUBLE)) AS total FROM (SELECT node_id, arg_min(vec, vec_id) AS vec FROM vec_embeddings JOIN embedding_hashes USING (node_id, content_hash) WHERE {_GOOD} GROUP BY 1) JOIN embedding_hashes USING (node_id)),
+x AS (SELECT id, coalesce(level_1, '') || chr(10) || coalesce(level_2, '') AS tx FROM n), y AS (SELECT id AS node_id, substr(sha256(tx), 1, 16) AS content_hash, {' + '.join(f"xor(CAST({_BYTE.format(2 * i + 1, 2 * i + 2)} AS INTEGER), {i}) / 128.0 - 1" for i in range(8))} AS total FROM x),
+nw AS (SELECT y.* FROM y WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.node_id = y.node_id AND st.content_hash = y.content_hash))
+SELECT node_id, content_hash, 8 AS width, round(total, 3) AS total FROM nw UNION ALL SELECT node_id, content_hash, 8, round(total, 3) FROM st WHERE node_id NOT IN (SELECT node_id FROM nw)"""
+add("src28_stand_in_vectors", lambda m: m.nodes.select("id", F.round(F.aggregate(fn.test_vector("id", 8), F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total")), "x AS (SELECT id, id AS tx FROM n) SELECT id, round(" + " + ".join(f"xor(CAST({_BYTE.format(2 * i + 1, 2 * i + 2)} AS INTEGER), {i}) / 128.0 - 1" for i in range(8)) + ", 3) AS total FROM x")
+QUERIES["sch4_semantic_search"] = lambda spark, d: se.semantic_search(open_mesh(spark, d), _vectors(spark, d), "queue", lambda texts: [[1.0] * 64], 20)
+SQL["sch4_semantic_search"] = f"""WITH {MESH}, x AS (SELECT node_id, arg_min(vec, vec_id)::DOUBLE[] AS vec FROM vec_embeddings JOIN embedding_hashes USING (node_id, content_hash) WHERE {_GOOD} GROUP BY 1),
+y AS (SELECT node_id AS id, round(list_distance(vec, list_transform(range(64), lambda i: 1.0::DOUBLE)), 6) AS distance FROM x ORDER BY 2, 1 LIMIT 60), z AS (SELECT id FROM y JOIN n USING (id) ORDER BY distance, id LIMIT 20) SELECT id, 'semantic' AS mode, (SELECT count(*) FROM z) AS total FROM z"""
+
+
 def _observed(m):
     """The nodes as last observed, to be written over the index."""
     seen = m.current.filter("not gone and cur_code is not null")
@@ -88,16 +124,16 @@ add("stl12_verifications", lambda m: mu.mark_clean(m, m.nodes.filter("own_status
 
 
 def _renames(m):
-    """Functions move to another project: every id of the first project by name."""
-    return m.nodes.filter("subtype = 'function' and startswith(id, 'heron0::')").select(F.col("id").alias("old_id"), F.concat(F.lit("moved::"), F.expr("substr(id, 9)")).alias("new_id"))
+    """Every function moves to a project of its own."""
+    return m.nodes.filter("subtype = 'function'").select(F.col("id").alias("old_id"), F.concat(F.lit("moved-"), F.col("id")).alias("new_id"))
 
 
 add("snk16_rename_edges", lambda m: mu.rename(m, _renames(m)).edges.select("id", "from_id", "to_id"),
-    """r0 AS (SELECT id AS o, 'moved::' || substr(id, 9) AS w FROM n WHERE subtype = 'function' AND starts_with(id, 'heron0::')),
+    """r0 AS (SELECT id AS o, 'moved-' || id AS w FROM n WHERE subtype = 'function'),
     r AS (SELECT o, w FROM r0 UNION SELECT n.id, w || substr(n.id, length(o) + 1) FROM n JOIN r0 ON (contains(n.id, '@workflow') AND split_part(n.id, '@workflow', 1) = o) OR (contains(n.id, '::step-') AND split_part(n.id, '::step-', 1) = o)),
     z AS (SELECT edge_type, coalesce(a.w, from_id) AS from_id, coalesce(b.w, to_id) AS to_id FROM e LEFT JOIN r a ON a.o = from_id LEFT JOIN r b ON b.o = to_id) SELECT DISTINCT from_id || '::' || edge_type || '::' || to_id AS id, from_id, to_id FROM z""")
 add("snk17_rename_history", lambda m: mu.rename(m, _renames(m)).history.select("id", "node_id"),
-    """r0 AS (SELECT id AS o, 'moved::' || substr(id, 9) AS w FROM n WHERE subtype = 'function' AND starts_with(id, 'heron0::')),
+    """r0 AS (SELECT id AS o, 'moved-' || id AS w FROM n WHERE subtype = 'function'),
     r AS (SELECT o, w FROM r0 UNION SELECT n.id, w || substr(n.id, length(o) + 1) FROM n JOIN r0 ON (contains(n.id, '@workflow') AND split_part(n.id, '@workflow', 1) = o) OR (contains(n.id, '::step-') AND split_part(n.id, '::step-', 1) = o))
     SELECT h.id, coalesce(w, node_id) AS node_id FROM h LEFT JOIN r ON r.o = node_id""")
 add("snk21_export", lambda m: mu.export_json(m).groupBy("kind").agg(F.count("*").alias("n")), "SELECT 'node' AS kind, count(*) AS n FROM n UNION ALL SELECT 'edge', count(*) FROM e")
