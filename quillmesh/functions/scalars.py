@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,3 +124,24 @@ def strip_id_links(markdown: Column | str) -> Column:
 def lines_added(old: Column | str, new: Column | str) -> Column:
     a, b = F.split(F.coalesce(_c(old), F.lit("")), "\n"), F.split(F.coalesce(_c(new), F.lit("")), "\n")
     return F.size(F.filter(b, lambda x: ~F.array_contains(a, x)))
+
+
+STEPS = "array<struct<step_num:double,name:string,purpose:string,inputs:string,outputs:string,critical:string>>"
+
+
+def steps_to_json(steps: Column | str) -> Column:
+    return F.to_json(_c(steps))
+
+
+def json_to_steps(text: Column | str) -> Column:
+    """Steps of their JSON; null for what is none."""
+    return F.from_json(_c(text), STEPS)
+
+
+def vector_bytes(vec: Column | str) -> Column:
+    """A vector of floats as little-endian bytes of four each."""
+    @F.pandas_udf("binary")
+    def packed(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return packed(_c(vec))

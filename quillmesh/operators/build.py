@@ -12,7 +12,7 @@ from ..functions import scalars as fn
 from ..mesh import Mesh
 from ..runtime import cut
 from ..sources import project, scan, scripts
-from . import mutations, rename, staleness
+from . import documents, mutations, rename, staleness
 
 
 def scanned(files: DataFrame) -> DataFrame:
@@ -67,9 +67,11 @@ def reconcile_links(m: Mesh, intended: DataFrame, scanned_ids: DataFrame, at: da
     return m.but(edges=m.edges.join(ids, "id", "left_anti").select(*m.edges.columns), history=m.history.unionByName(mutations.events(rows, m.history)))
 
 
-def stale_locations(m: Mesh, manifest: DataFrame, exclude_dirs: Collection[str] = ()) -> DataFrame:
-    """id of nodes whose file is not in the manifest (location), or lies in an excluded folder; entities have no file."""
-    n = m.nodes.filter("node_type <> 'entity' and location is not null and location <> ''").select("id", "location")
+def stale_locations(m: Mesh, manifest: DataFrame, exclude_dirs: Collection[str] = (), with_docs: bool = True) -> DataFrame:
+    """id of nodes whose file is not in the manifest (location), or lies in an excluded folder; entities have no file, and
+    documents count only with_docs."""
+    n = m.nodes.filter("node_type <> 'entity' and location is not null and location <> ''")
+    n = (n if with_docs else n.filter("coalesce(subtype, '') <> 'docjson'")).select("id", "location")
     lost = n.join(manifest.select("location"), "location", "left_anti")
     return (lost.unionByName(n.filter(~project.not_skipped(F.col("location"), exclude_dirs)).select(*lost.columns)) if exclude_dirs else lost).select("id").distinct()
 
@@ -98,13 +100,15 @@ def rescan(m: Mesh, files: DataFrame, at: datetime) -> Mesh:
     return _merged(m, new, at, True, None)[0]
 
 
-def build(m: Mesh, files: DataFrame, at: datetime, discovery_only: bool = True, git_sha: str | None = None, exclude_dirs: Collection[str] = (), transitive_tags: Collection[str] = ("consumer",), frozen_tags: Collection[str] = ("frozen",), pool_cap: int | None = rename.POOL_CAP, threshold: float = rename.THRESHOLD) -> tuple[Mesh, dict[str, int]]:
+def build(m: Mesh, files: DataFrame, at: datetime, discovery_only: bool = True, git_sha: str | None = None, exclude_dirs: Collection[str] = (), transitive_tags: Collection[str] = ("consumer",), frozen_tags: Collection[str] = ("frozen",), pool_cap: int | None = rename.POOL_CAP, threshold: float = rename.THRESHOLD, docs: DataFrame | None = None) -> tuple[Mesh, dict[str, int]]:
     """A build over all source files of the projects (location, content, and file_mtime if known): the index after it and the
     numbers of files read, nodes, edges, lost, renamed and purged nodes.
 
     Files no newer than stored, or of equal text, are not read again. What is lost in files that were read, and what is new,
     is matched as renames within each file, which carry history, verification and links over. Nodes of vanished files go.
-    Statuses are then renewed against all files, and their changes told in the history.
+    Statuses are then renewed against all files, and their changes told in the history. docs (project, slug, raw: all
+    documents there are) are read along, their links reconciled, and vanished ones taken out; without docs those of the
+    index stay as they are.
     """
     manifest = cut(files.select("location", "content", *[c for c in ("file_mtime",) if c in files.columns]).filter("location is not null and content is not null"))
     anchors = m.nodes.filter("subtype = 'module'").select("location", F.col("code_hash").alias("_anchor"))
@@ -119,8 +123,19 @@ def build(m: Mesh, files: DataFrame, at: datetime, discovery_only: bool = True,
     pairs = cut(rename.match(shape(lost), shape(found).withColumn("is_new", F.lit(True)), pool_cap, threshold).filter("new_id is not null").select("old_id", "new_id"))
     out = mutations.rename(out, pairs)
     done = rename.renames_of(m).unionByName(pairs.select("old_id", "new_id", F.lit(at).cast("timestamp").alias("renamed_at"), F.lit("").alias("file_path")))
-    gone = cut(stale_locations(out, manifest, exclude_dirs).unionByName(pairs.select(F.col("old_id").alias("id"))).distinct())
-    out = mutations.delete_nodes(out, gone, at, git_sha).but(renames=done, current=observation(out.nodes.join(gone, "id", "left_anti"), manifest))
+    gone = stale_locations(out, manifest, exclude_dirs, False).unionByName(pairs.select(F.col("old_id").alias("id")))
+    if docs is not None:
+        hashes = cut(documents.doc_hashes(docs))
+        known = out.nodes.filter("subtype = 'docjson'").select("id", F.concat_ws("::", F.get(F.split("id", "::"), 0), F.get(F.split("id", "::"), 1)).alias("doc_id"))
+        gone = gone.unionByName(known.join(hashes.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select("id"))
+    gone = cut(gone.distinct())
+    left = out.nodes.join(gone, "id", "left_anti")
+    now = observation(left.filter("coalesce(subtype, '') <> 'docjson'"), manifest)
+    out = mutations.delete_nodes(out, gone, at, git_sha)
+    if docs is not None:
+        out, _ = documents.write_docs(out, docs, at, None)
+        now = now.unionByName(hashes.select("id", F.lit(False).alias("gone"), F.col("code_hash").alias("cur_code"), F.col("desc_hash").alias("cur_desc")))
+    out = out.but(renames=done, current=now)
     out = out.but(nodes=cut(out.nodes), edges=cut(out.edges), history=cut(out.history), current=cut(out.current))
     fresh = cut(staleness.statuses(out, transitive_tags, frozen_tags, pairs.select(F.col("new_id").alias("id"))))
     events = staleness.transitions(out.nodes.select("id", "own_status", "link_status"), fresh)

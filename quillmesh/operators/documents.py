@@ -140,24 +140,43 @@ def slug_error(slug: Column) -> Column:
     return F.when(slug.contains("::"), "node_id").when(slug.rlike(r'[<>:"\\\\|?*\x00-\x1f]'), "bad_character").when(slug == "", "empty")
 
 
-def write_docs(m: Mesh, docs: DataFrame, at: datetime, by: str = "agent") -> tuple[Mesh, DataFrame]:
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with slug (of the title where none is given), bad (slug_error) and doc_id."""
+    slug = F.coalesce(F.nullif(F.trim("slug"), F.lit("")), fn.slug(F.get_json_object("raw", "$.title")), F.lit(""))
+    want = docs.select("project", "raw", slug.alias("slug")).withColumn("bad", slug_error(F.col("slug")))
+    return want.withColumn("doc_id", F.concat("project", F.lit("::docs."), F.replace("slug", F.lit("/"), F.lit("."))))
+
+
+def _hashed(heads: DataFrame, secs: DataFrame) -> DataFrame:
+    """The nodes of parsed documents and sections with the hashes of their texts."""
+    text = fn.strip_html(F.coalesce("content", F.lit("")))
+    fresh = heads.select(F.col("doc_id").alias("id"), "title", F.col("title").alias("level_1"), F.lit(None).cast("string").alias("level_2"), fn.hash16("title").alias("code_hash"), F.lit("composite_process").alias("node_type"), "doc_id")
+    fresh = fresh.unionByName(secs.select("id", F.col("heading").alias("title"), F.col("heading").alias("level_1"), F.col("content").alias("level_2"), fn.hash16(F.concat_ws("\n", "heading", text)).alias("code_hash"), F.lit("atomic_process").alias("node_type"), "doc_id"))
+    return fresh.withColumn("desc_hash", fn.hash16(F.concat_ws("\n", "level_1", F.coalesce("level_2", F.lit("")))))
+
+
+def doc_hashes(docs: DataFrame) -> DataFrame:
+    """id, code_hash, desc_hash of the documents and sections of docs (project, slug, raw); faulty documents have none."""
+    good = parse_docs(_named(docs).filter("bad is null")).filter("error is null")
+    secs = good.filter("sec is not null").withColumn("id", F.concat_ws("::", "doc_id", "sec"))
+    return _hashed(good.filter("sec is null"), secs).select("id", "code_hash", "desc_hash")
+
+
+def write_docs(m: Mesh, docs: DataFrame, at: datetime, by: str | None = "agent") -> tuple[Mesh, DataFrame]:
     """Create or overwrite documents: the index after it, and for each doc_id its error, or the numbers of its sections, links
     and links to ids that no node has.
 
     docs: project, slug (a path such as `adrs/016-x`; null or empty: made of the title), raw. The id of a document is
     `project::docs.` and the slug with dots. Nodes that were there and whose text changes are verified by the writer; new
     ones are INITIAL; sections that are gone lose all but their history. Each documents link is told as LINK_ADDED.
+    Without a writer (by None: a build that reads files) known hashes and statuses stay, so that drift shows, nothing is
+    verified, and only links that are new are told.
     """
-    title = F.get_json_object("raw", "$.title")
-    slug = F.coalesce(F.nullif(F.trim("slug"), F.lit("")), fn.slug(title), F.lit(""))
-    want = docs.select("project", "raw", slug.alias("slug")).withColumn("bad", slug_error(F.col("slug"))).withColumn("doc_id", F.concat("project", F.lit("::docs."), F.replace("slug", F.lit("/"), F.lit("."))))
+    want = _named(docs)
     parsed = cut(parse_docs(want.filter("bad is null").groupBy("doc_id").agg(F.max("raw").alias("raw"))))
     good = parsed.filter("error is null")
     heads, secs = good.filter("sec is null").select("doc_id", "title", "tags"), good.filter("sec is not null").withColumn("id", F.concat_ws("::", "doc_id", "sec")).withColumn("parent_id", F.when(F.col("parent").isNotNull(), F.concat_ws("::", "doc_id", "parent")))
-    text = fn.strip_html(F.coalesce("content", F.lit("")))
-    fresh = heads.select(F.col("doc_id").alias("id"), "title", F.col("title").alias("level_1"), F.lit(None).cast("string").alias("level_2"), fn.hash16("title").alias("code_hash"), F.lit("composite_process").alias("node_type"), "doc_id")
-    fresh = fresh.unionByName(secs.select("id", F.col("heading").alias("title"), F.col("heading").alias("level_1"), F.col("content").alias("level_2"), fn.hash16(F.concat_ws("\n", "heading", text)).alias("code_hash"), F.lit("atomic_process").alias("node_type"), "doc_id"))
-    fresh = cut(fresh.withColumn("desc_hash", fn.hash16(F.concat_ws("\n", "level_1", F.coalesce("level_2", F.lit(""))))))
+    fresh = cut(_hashed(heads, secs))
     written = heads.select("doc_id")
     doc_of = F.concat_ws("::", F.get(F.split("id", "::"), 0), F.get(F.split("id", "::"), 1))
     mine = m.nodes.filter("subtype = 'docjson'").withColumn("doc_id", doc_of).join(written, "doc_id", "left_semi")
@@ -169,7 +188,13 @@ def write_docs(m: Mesh, docs: DataFrame, at: datetime, by: str = "agent") -> tup
     base |= {"subtype": F.lit("docjson"), "status": F.lit("active"), "source": F.lit("json_doc_scanner"), "own_status": F.lit("VERIFIED"), "link_status": F.lit("VERIFIED"), "updated_at": F.lit(at).cast("timestamp"), "level_0": F.get(F.split("id", "::"), 0)}
     base |= {"location": F.concat(F.replace(F.get(F.split("doc_id", "::"), 1), F.lit("."), F.lit("/")), F.lit(".json"))}
     nodes = m.nodes.join(old.select("id"), "id", "left_anti").select(*m.nodes.columns)
-    nodes = nodes.unionByName(fresh.select(*[F.col(c) if c in fresh.columns else v.alias(c) for c, v in base.items()]).select(*m.nodes.columns))
+    shown = fresh.select(*[F.col(c) if c in fresh.columns else v.alias(c) for c, v in base.items()]).select(*m.nodes.columns)
+    if by is None:
+        stays = ("code_hash", "desc_hash", "own_status", "link_status", "updated_at")
+        was = mine.select("id", F.lit(True).alias("_was"), *[F.col(c).alias(f"_{c}") for c in stays])
+        shown = shown.join(was, "id", "left").select(*[F.when(F.col("_was"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in stays else F.col(c) for c in m.nodes.columns])
+        changed = changed.limit(0)
+    nodes = nodes.unionByName(shown)
     gone = old.join(fresh.select("id"), "id", "left_anti").select(F.col("id").alias("node_id"))
     tags = heads.select(F.col("doc_id").alias("node_id"), F.explode("tags").alias("tag")).unionByName(secs.select(F.col("id").alias("node_id"), F.explode("sec_tags").alias("tag"))).select("node_id", F.lower("tag").alias("tag")).distinct()
     all_mine = old.select(F.col("id").alias("node_id")).unionByName(fresh.select(F.col("id").alias("node_id"))).distinct()
@@ -183,7 +208,9 @@ def write_docs(m: Mesh, docs: DataFrame, at: datetime, by: str = "agent") -> tup
     edges = kept.join(new_edges.select("id"), "id", "left_anti").select(*m.edges.columns).unionByName(new_edges.select(*[F.col(c) if c in new_edges.columns else shape[c].alias(c) for c in m.edges.columns]))
     when = F.lit(at).cast("timestamp").alias("scanned_at")
     event = fresh.join(old.select("id"), "id", "left_anti").select(F.col("id").alias("node_id"), when, F.lit("INITIAL").alias("change_type"), F.lit(None).cast("string").alias("meta"))
-    event = event.unionByName(links.select(F.col("from_id").alias("node_id"), when, F.lit("LINK_ADDED").alias("change_type"), F.to_json(F.struct(F.lit("documents").alias("edge_type"), F.col("from_id").alias("source"), F.col("to_id").alias("target"), F.lit(by).alias("actor"))).alias("meta")))
+    told_links = links if by is not None else links.join(m.edges.filter("edge_type = 'documents'").select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
+    by = by or "build"
+    event = event.unionByName(told_links.select(F.col("from_id").alias("node_id"), when, F.lit("LINK_ADDED").alias("change_type"), F.to_json(F.struct(F.lit("documents").alias("edge_type"), F.col("from_id").alias("source"), F.col("to_id").alias("target"), F.lit(by).alias("actor"))).alias("meta")))
     event = event.unionByName(changed.select(F.col("id").alias("node_id"), when, F.lit("AGENT_VERIFIED" if by.startswith("agent") else "MANUAL_VERIFIED").alias("change_type"), F.to_json(F.struct(F.lit("auto: docjson write").alias("reason"))).alias("meta")))
     snap = changed.select(F.col("id").alias("node_id"), F.lit("VERIFIED").alias("status"), F.lit(at).cast("timestamp").alias("verified_at"), F.lit(by).alias("verified_by"), F.lit("auto: docjson write").alias("reason"), F.col("code_hash").alias("code_hash_at"), F.col("desc_hash").alias("desc_hash_at"))
     ver = mutations.keep_latest(m.verification.join(gone, "node_id", "left_anti").select(*m.verification.columns), snap.select(*m.verification.columns), "node_id")

@@ -29,8 +29,8 @@ def parse_filter(text: str | None) -> tuple[set[str], set[str], bool]:
     raise ValueError(f"unknown filter: {text!r}")
 
 
-def matches(text: str | None, location_glob: str | None = None) -> Column:
-    """The filter as one predicate on nodes. Globs match without regard to case."""
+def matches(text: str | None, location_glob: str | None = None, long_section: int = LONG_SECTION) -> Column:
+    """The filter as one predicate on nodes. Globs match without regard to case; sections are long beyond long_section characters."""
     own, link, long = parse_filter(text)
     cond = F.lit(False)
     if own:
@@ -38,7 +38,7 @@ def matches(text: str | None, location_glob: str | None = None) -> Column:
     if link:
         cond = cond | F.col("link_status").isin(*sorted(link))
     if long:
-        cond = cond | ((F.col("subtype") == "docjson") & (F.length("level_2") > LONG_SECTION))
+        cond = cond | ((F.col("subtype") == "docjson") & (F.length("level_2") > long_section))
     if location_glob is not None:
         cond = cond & F.coalesce("level_3_location", "location").ilike(fn.glob_to_like(location_glob))
     return F.coalesce(cond, F.lit(False))

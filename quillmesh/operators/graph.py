@@ -58,6 +58,13 @@ def khop_edges(m: Mesh, node_id: str, direction: str = "out", depth: int = 1) ->
     return hit.groupBy("id", "edge_type", "from_id", "to_id").agg(F.min("hop").alias("hop"))
 
 
+def fetch_graph(m: Mesh, node_id: str, direction: str = "out", depth: int = 1, most: int = 40, offset: int = 0) -> DataFrame:
+    """A page of khop_edges by hop and id, each row with the total and truncated; no rows for a node that there isn't."""
+    rows = cut(khop_edges(m, node_id, direction, depth).join(F.broadcast(m.nodes.filter(F.col("id") == node_id).select(F.lit(True).alias("known"))), F.lit(True), "left_semi"))  # one row
+    total = rows.agg(F.count("*").alias("total"), (F.count("*") > offset + most).alias("truncated"))
+    return rows.orderBy("hop", "id").offset(offset).limit(most).crossJoin(F.broadcast(total))  # one row
+
+
 def neighbourhood(m: Mesh, node_id: str, depth: int = 1) -> DataFrame:
     """Existing nodes within depth hops either way, with their statuses."""
     return m.nodes.join(khop_nodes(m, node_id, "both", depth), "id").select("id", "level", "own_status", "link_status")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Collection
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..mesh import Mesh
+from ..runtime import cut
 from ..schema import DOC_SOURCES, LONG_SECTION, TYPE_ALIASES
 
 
@@ -127,8 +129,16 @@ def page(df: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
 
 def within_budget(df: DataFrame, order: str, text: str, budget: int, key: str | None = None) -> DataFrame:
     """Rows marked kept while the running number of characters, in this order, is within the budget; per key, if given."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("chars", F.length(F.coalesce(F.col(text), F.lit("")))).withColumn("kept", F.sum("chars").over(w) <= budget)
+    sized = df.withColumn("chars", F.length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
+    if key:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return sized.withColumn("kept", F.sum("chars").over(w) <= budget)
+    # Without a key: ranges of the order, each summed by itself; what the ranges before hold is a row per range.
+    ranged = cut(sized.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    own = F.sum("chars").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = ranged.groupBy("_range").agg(F.sum("chars").alias("_n"))
+    before = sums.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_range").withColumn("kept", own + F.col("_before") <= budget).drop("_range", "_before")  # a row per task
 
 
 def envelopes(m: Mesh, role: str | None = None, module: str | None = None, scope: str = "all", has_steps: bool = False) -> DataFrame:
@@ -180,3 +190,120 @@ def display_filter(m: Mesh, hide_types: Collection[str] = (), hide_subtypes: Col
     if hide_tests:
         out = out.filter(~F.coalesce(F.array_contains(F.split("location", "/"), "tests"), F.lit(False)))
     return out
+
+
+def capped(df: DataFrame, order: list[str], most: int, offset: int = 0) -> DataFrame:
+    """At most `most` rows in order from offset on, each with truncated: whether there are more behind them."""
+    some = df.orderBy(*order).offset(offset).limit(most + 1)
+    n = some.agg((F.count("*") > most).alias("truncated"))
+    return some.orderBy(*order).limit(most).crossJoin(F.broadcast(n))  # one row
+
+
+def column_sort(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Rows by a column without regard to case, empty and null values first, equal ones by id."""
+    c = F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    return df.orderBy(c.desc() if descending else c.asc(), "id")
+
+
+def group_counts(m: Mesh, by: str) -> DataFrame:
+    """grp, n: nodes counted by node_type, subtype, shown status, or first tag (by name); `(none)` for those without."""
+    own = F.when(F.col("own_status") != "VERIFIED", F.col("own_status")).otherwise(F.col("link_status"))
+    keys = {"node_type": F.col("node_type"), "subtype": F.coalesce("subtype", "node_type"), "status": own}
+    if by == "tag":
+        first = m.tags.groupBy(F.col("node_id").alias("id")).agg(F.min("tag").alias("grp"))
+        rows = m.nodes.select("id").join(first, "id", "left")
+    elif by in keys:
+        rows = m.nodes.select(keys[by].alias("grp"))
+    else:
+        raise ValueError(f"unknown grouping: {by!r}")
+    return rows.groupBy(F.coalesce("grp", F.lit("(none)")).alias("grp")).agg(F.count("*").alias("n"))
+
+
+def workflow_filter(m: Mesh, has_steps: bool = False, critical: bool = False, linked: bool = False, modules: Collection[str] = ()) -> DataFrame:
+    """id of envelopes with steps, with a step that is critical (its node tagged so, or its marker says so), with a function,
+    of one of the modules; each if asked for."""
+    out = envelopes(m).select("id", "step_count", F.get(F.split("id", "::"), 1).alias("module"))
+    if has_steps:
+        out = out.filter("step_count > 0")
+    if critical:
+        steps = m.nodes.filter("subtype in ('step', 'autostep')").select(F.col("id").alias("to_id"), F.coalesce(F.get_json_object("dflow_meta", "$.critical"), F.lit("")).alias("c"))
+        tagged = m.tags.filter("tag = 'critical'").select(F.col("node_id").alias("to_id"), F.lit(True).alias("t")).distinct()
+        crit = m.edges.filter("edge_type = 'composes'").join(steps, "to_id").join(tagged, "to_id", "left").filter("c <> '' or t").select(F.col("from_id").alias("id"))
+        out = out.join(crit, "id", "left_semi")
+    if linked:
+        out = out.join(m.edges.filter("edge_type = 'annotates'").select(F.col("from_id").alias("id")), "id", "left_semi")
+    if modules:
+        out = out.filter(F.col("module").isin(*modules))
+    return out.select("id")
+
+
+def tests_filter(m: Mesh, tier: str | None = None, has_steps: bool = False, has_targets: bool = False, modules: Collection[str] = ()) -> DataFrame:
+    """Rows of tests_dashboard: without tier T1 (`some`) or of one tier, with steps, with targets, of one of the modules."""
+    out = tests_dashboard(m)
+    if tier is not None:
+        out = out.filter("tier <> 'T1'" if tier == "some" else F.col("tier") == tier)
+    if has_steps:
+        out = out.filter("step_count > 0")
+    if has_targets:
+        out = out.filter("validates_count > 0")
+    return out.filter(F.get(F.split("id", "::"), 1).isin(*modules)) if modules else out
+
+
+def filter_commits(commits: DataFrame, text: str | None = None, since: datetime | None = None) -> DataFrame:
+    """Commits (sha, subject, body, at) that hold a text anywhere, without regard to case, and are no older than a time."""
+    if text:
+        commits = commits.filter(F.lower(F.concat_ws(" ", "sha", "subject", "body")).contains(text.lower()))
+    return commits.filter(F.col("at") >= since) if since is not None else commits
+
+
+def docs_of_file(m: Mesh, file_path: str) -> DataFrame:
+    return m.docs.filter(F.col("file_path") == file_path).select("id")
+
+
+def node_hashes(m: Mesh, ids: DataFrame) -> DataFrame:
+    """id, code_hash, desc_hash of each id, null where there is no such node."""
+    return ids.select("id").distinct().join(m.nodes.select("id", "code_hash", "desc_hash"), "id", "left")
+
+
+def staleness_of(m: Mesh, ids: DataFrame) -> DataFrame:
+    """id, status: struct(own_status, link_status)."""
+    return m.nodes.join(ids.select("id"), "id", "left_semi").select("id", F.struct("own_status", "link_status").alias("status"))
+
+
+def node_edges(m: Mesh, node_id: str) -> DataFrame:
+    """Edges of a node with way: out or in; one from a node to itself is both."""
+    out = m.edges.filter(F.col("from_id") == node_id).withColumn("way", F.lit("out"))
+    return out.unionByName(m.edges.filter(F.col("to_id") == node_id).withColumn("way", F.lit("in")))
+
+
+def scan_excluded(m: Mesh, dirs: Collection[str], prefixes: Collection[str] = ()) -> DataFrame:
+    """id of nodes in an excluded folder or under a path of tests."""
+    cond = F.arrays_overlap(F.split("location", "/"), F.array(*[F.lit(x) for x in dirs])) if dirs else F.lit(False)
+    for p in prefixes:
+        cond = cond | F.col("location").startswith(p)
+    return m.nodes.filter(cond).select("id")
+
+
+def without_tagged(m: Mesh, tag: str) -> DataFrame:
+    return m.nodes.join(m.tags.filter(F.col("tag") == tag).select(F.col("node_id").alias("id")), "id", "left_anti")
+
+
+def without_frozen(m: Mesh, tags: Collection[str]) -> DataFrame:
+    """Nodes that are no sections of documents with one of the tags."""
+    return m.nodes.join(sections_of_docs_with_tags(m, tags), "id", "left_anti")
+
+
+def repeated_edges(edges: DataFrame) -> DataFrame:
+    """id, n of the edges that were delivered more than once."""
+    return edges.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def find_section(m: Mesh, doc_id: str, place: str) -> DataFrame:
+    """The section at a dotted place (`a.b`) of a document."""
+    return m.sections.filter(F.col("id") == f"{doc_id}::{place}")
+
+
+def export_header(m: Mesh, project: str, version: str) -> DataFrame:
+    """One row: what an export says of itself beside mutations.export_json."""
+    n, e = m.nodes.agg(F.count("*").alias("nodes")), m.edges.agg(F.count("*").alias("edges"))
+    return n.crossJoin(e).select(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(project).alias("project_id"), "nodes", "edges")).alias("document"))  # one row each

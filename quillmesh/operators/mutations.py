@@ -25,12 +25,14 @@ def _at(t: datetime) -> Column:
 
 
 def events(rows: DataFrame, like: DataFrame, base: Column | None = None) -> DataFrame:
-    """Rows (node_id, scanned_at, change_type and any of git_sha, meta, preserved) in the shape of the history. Their ids are
-    hashes of what they say, above those in use, so that a repeated write gives the same ids."""
+    """Rows (node_id, scanned_at, change_type and any of git_sha, meta, preserved) in the shape of the history. Their ids lie
+    above those of deliveries, in the order of their times (to the millisecond) and within one by a hash of what they say, so
+    that a repeated write gives the same ids."""
     defaults = {"git_sha": F.lit(None).cast("string"), "meta": F.lit(None).cast("string"), "preserved": F.lit(False)}
     rows = rows.withColumns({c: v for c, v in defaults.items() if c not in rows.columns})
-    code = F.xxhash64("node_id", "scanned_at", "change_type", "meta").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    return rows.withColumn("id", code if base is None else base).select(*like.columns)
+    code = F.xxhash64("node_id", "change_type", "meta").bitwiseAND(F.lit((1 << 20) - 1))
+    when = F.greatest(F.unix_millis("scanned_at"), F.lit(0)).bitwiseAND(F.lit((1 << 42) - 1))
+    return rows.withColumn("id", F.shiftleft(when, 20).bitwiseOR(code).bitwiseOR(F.lit(1 << 62)) if base is None else base).select(*like.columns)
 
 
 def keep_latest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -178,6 +180,27 @@ def mark_clean(m: Mesh, ids: DataFrame, at: datetime, by: str, reason: str) -> M
     return out.but(history=m.history.unionByName(events(event, m.history)), verification=keep_latest(m.verification, snap.select(*m.verification.columns), "node_id"))
 
 
+def mark_clean_report(m: Mesh, ids: DataFrame) -> DataFrame:
+    """id, result of each id that mark_clean is asked for: marked or not_found."""
+    return ids.select("id").distinct().join(m.nodes.select("id", F.lit(True).alias("known")), "id", "left").select("id", F.when(F.col("known"), "marked").otherwise("not_found").alias("result"))
+
+
+def add_edges(m: Mesh, wanted: DataFrame, at: datetime) -> tuple[Mesh, DataFrame]:
+    """Add typed edges (from_id, edge_type, to_id): the index after it, and for each edge added, no_start, no_end or
+    not_allowed by the rules of types."""
+    from .drift import EDGE_RULES
+
+    rules = m.nodes.sparkSession.createDataFrame(EDGE_RULES, "edge_type string, ft string, tt string").withColumn("ok", F.lit(True))
+    t = m.nodes.select("id", "node_type")
+    j = wanted.select("from_id", "edge_type", "to_id").distinct().join(t.select(F.col("id").alias("from_id"), F.col("node_type").alias("ft")), "from_id", "left").join(t.select(F.col("id").alias("to_id"), F.col("node_type").alias("tt")), "to_id", "left")
+    j = j.join(F.broadcast(rules), ["edge_type", "ft", "tt"], "left")  # as many rows as there are rules
+    told = j.select("from_id", "edge_type", "to_id", F.when(F.col("ft").isNull(), "no_start").when(F.col("tt").isNull(), "no_end").when(F.col("ok").isNull(), "not_allowed").otherwise("added").alias("result"))
+    new = told.filter("result = 'added'")
+    have = {"id": fn.edge_id("from_id", "edge_type", "to_id"), "weight": F.lit(1.0), "loaded_at": _at(at)}
+    rows = new.select(*[(have[c] if c in have else F.col(c) if c in new.columns else F.lit(None)).cast(k).alias(c) for c, k in m.edges.dtypes])
+    return upsert_edges(m, rows), told
+
+
 def purge(m: Mesh, ids: DataFrame, at: datetime) -> tuple[Mesh, DataFrame]:
     """Delete those of the ids whose own status is NOT_FOUND; and what became of each id."""
     j = ids.select("id").distinct().join(m.nodes.select("id", "own_status"), "id", "left")

@@ -101,11 +101,14 @@ def match(lost: DataFrame, found: DataFrame, pool_cap: int | None = POOL_CAP, th
     return lost.select(F.col("id").alias("old_id")).join(matched, "old_id", "left").join(why.withColumnRenamed("id", "old_id"), "old_id", "left").select("old_id", "new_id", "ratio", "reason")
 
 
-def lost_and_found(nodes: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+def lost_and_found(nodes: DataFrame, current: DataFrame, renamed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ids that only earlier snapshots hold, and nodes that no snapshot holds, in the shape match() takes; the scope is the
-    file (location), or the project where none is known. No table tells which files were renamed, so none are joined."""
+    file (location), or the project where none is known. What was lost in a file that was renamed (renamed: old_path, path)
+    belongs to the scope of the new one."""
     scope = F.coalesce("location", F.substring_index("id", "::", 1))
     lost = current.filter("gone").join(nodes.select("id", "location", F.col("level_2").alias("body")), "id", "left").select("id", scope.alias("scope"), F.col("cur_code").alias("code_hash"), "body")
+    if renamed is not None:
+        lost = lost.join(renamed.select(F.col("old_path").alias("scope"), "path"), "scope", "left").withColumn("scope", F.coalesce("path", "scope")).drop("path")
     found = nodes.join(current.select("id"), "id", "left_anti").select("id", scope.alias("scope"), F.lower("code_hash").alias("code_hash"), F.col("level_2").alias("body"), F.lit(True).alias("is_new"))
     return lost, found
 

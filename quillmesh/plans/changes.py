@@ -138,7 +138,15 @@ add("snk17_rename_history", lambda m: mu.rename(m, _renames(m)).history.select("
     SELECT h.id, coalesce(w, node_id) AS node_id FROM h LEFT JOIN r ON r.o = node_id""")
 add("snk21_export", lambda m: mu.export_json(m).groupBy("kind").agg(F.count("*").alias("n")), "SELECT 'node' AS kind, count(*) AS n FROM n UNION ALL SELECT 'edge', count(*) FROM e")
 add("api5_checkpoint", lambda m: mu.checkpoint_events(m, ["entity"], NOW, "0123456789abcdef", "x").history.filter("change_type = 'CHECKPOINT'").select("node_id", "git_sha"), "SELECT node_id, git_sha FROM h WHERE change_type = 'CHECKPOINT' UNION ALL SELECT id, '0123456789ab' FROM n WHERE node_type = 'entity'")
-_SCOPE = "split_part(id, '::', 1) || '/' || coalesce(regexp_extract(location, '\\.([a-z]+)$', 1), '')"
-add("jn23_exact_renames", lambda m: rn.exact_matches(*rn.lost_and_found(m.nodes, m.current)).select("old_id", "new_id"),
-    "a AS (SELECT cur_code AS k, min(id) AS old_id FROM cur WHERE gone AND cur_code IS NOT NULL GROUP BY 1), b AS (SELECT lower(code_hash) AS k, min(id) AS new_id FROM n WHERE code_hash IS NOT NULL AND id NOT IN (SELECT id FROM cur) GROUP BY 1) SELECT old_id, new_id FROM a JOIN b USING (k)")
+
+
+def _likely(m):
+    """Lost nodes and all others as found ones, by the first two digits of their hashes, so that some are equal."""
+    two = F.substring(F.lower("code_hash"), 1, 2).alias("code_hash")
+    lost = m.nodes.filter("own_status = 'NOT_FOUND'").select("id", F.col("location").alias("scope"), two, F.col("level_2").alias("body"))
+    return lost, m.nodes.filter("own_status <> 'NOT_FOUND'").select("id", F.col("location").alias("scope"), two, F.col("level_2").alias("body"), (F.length("id") % 3 > 0).alias("is_new"))
+
+
+add("jn23_exact_renames", lambda m: rn.exact_matches(*_likely(m)).select("old_id", "new_id"),
+    "a AS (SELECT substr(lower(code_hash), 1, 2) AS k, min(id) AS old_id FROM n WHERE own_status = 'NOT_FOUND' AND code_hash IS NOT NULL GROUP BY 1), b AS (SELECT substr(lower(code_hash), 1, 2) AS k, min(id) AS new_id FROM n WHERE own_status <> 'NOT_FOUND' AND code_hash IS NOT NULL AND length(id) % 3 > 0 GROUP BY 1) SELECT old_id, new_id FROM a JOIN b USING (k)")
 add("stl17_rename_matcher", lambda m: rn.match(*rn.lost_and_found(m.nodes, m.current), pool_cap=None), None)

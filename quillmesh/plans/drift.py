@@ -8,7 +8,7 @@ from ..operators import drift as dr
 from ..operators import graph as gr
 from ..operators import history as hs
 from ..operators import staleness as st
-from ..operators.inventory import docs_with_tags
+from ..operators.inventory import docs_with_tags, node_edges
 from .registry import registry, us
 
 QUERIES, SQL, add = registry()
@@ -46,10 +46,10 @@ add("jn13_node_tests", lambda m: dr.target_links(m, "validates"), "SELECT to_id,
 add("jn14_section_links", dr.section_links, "SELECT e.from_id, e.to_id, n.title FROM e JOIN s ON s.id = e.from_id LEFT JOIN n ON n.id = e.to_id WHERE edge_type = 'documents' AND e.to_id <> s.doc_id AND NOT starts_with(e.to_id, s.doc_id || '::')")
 add("jn19_workflow_labels", dr.workflow_labels, """a AS (SELECT from_id AS env, min(to_id) AS caller FROM e WHERE edge_type = 'annotates' GROUP BY 1), g AS (SELECT from_id AS step, min(to_id) AS callee FROM e WHERE edge_type = 'delegates_to' GROUP BY 1)
 SELECT caller, callee, regexp_extract(step, '::step-([0-9.]+)$', 1) AS step_num FROM a JOIN (SELECT from_id AS env, to_id AS step FROM e WHERE edge_type = 'composes') c USING (env) JOIN g USING (step)""")
-add("jn25_invalid_edges", dr.invalid_edges, "r(edge_type, ft, tt) AS (VALUES " + ", ".join(str(x) for x in dr.EDGE_RULES) + ") SELECT e.id, e.edge_type || ': ' || a.node_type || ' -> ' || b.node_type AS reason FROM e JOIN n a ON a.id = e.from_id JOIN n b ON b.id = e.to_id WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.edge_type = e.edge_type AND ft = a.node_type AND tt = b.node_type)")
+add("jn25_invalid_edges", lambda m: dr.invalid_edges(m.but(edges=m.edges.select("id", "edge_type", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))), "r(edge_type, ft, tt) AS (VALUES " + ", ".join(str(x) for x in dr.EDGE_RULES) + ") SELECT e.id, e.edge_type || ': ' || a.node_type || ' -> ' || b.node_type AS reason FROM e JOIN n a ON a.id = e.to_id JOIN n b ON b.id = e.from_id WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.edge_type = e.edge_type AND ft = a.node_type AND tt = b.node_type)")
 for _word in (None, "staleness", "links", "doc_quality", "DOC_SECTION_LONG", "RENAMED", "BROKEN_LINK"):
-    _cond = {None: _SHOWN, "staleness": "(own_status IN ('DESC_UPDATED', 'CONTENT_UPDATED', 'RENAMED', 'NOT_FOUND') OR link_status = 'LINKED_STALE')", "links": "link_status IN ('LINKED_STALE', 'BROKEN_LINK')", "RENAMED": "own_status = 'RENAMED'", "BROKEN_LINK": "link_status = 'BROKEN_LINK'"}.get(_word, "(subtype = 'docjson' AND length(level_2) > 2000)")
-    add(f"flt13_filter_{(_word or 'default').lower()}", lambda m, w=_word: m.nodes.filter(dr.matches(w)).select("id"), f"SELECT id FROM n WHERE {_cond}")
+    _cond = {None: _SHOWN, "staleness": "(own_status IN ('DESC_UPDATED', 'CONTENT_UPDATED', 'RENAMED', 'NOT_FOUND') OR link_status = 'LINKED_STALE')", "links": "link_status IN ('LINKED_STALE', 'BROKEN_LINK')", "RENAMED": "own_status = 'RENAMED'", "BROKEN_LINK": "link_status = 'BROKEN_LINK'"}.get(_word, "(subtype = 'docjson' AND length(level_2) > 150)")
+    add(f"flt13_filter_{(_word or 'default').lower()}", lambda m, w=_word: m.nodes.filter(dr.matches(w, long_section=150)).select("id"), f"SELECT id FROM n WHERE {_cond}")
 add("flt16_drift_predicate", lambda m: m.nodes.filter(dr.matches("all", "**/docs/**")).select("id"), f"SELECT id FROM n WHERE ({_SHOWN} OR (subtype = 'docjson' AND length(level_2) > 2000)) AND coalesce(level_3_location, location) ILIKE '%/docs/%'")
 add("srt3_drift_rows", lambda m: _rows(m).select("id", "own_status", "link_status", "location", "marker"), f"{_DRIFT} SELECT id, own_status, link_status, coalesce(level_3_location, location) AS location, CASE WHEN id IN (SELECT id FROM fz) THEN '[frozen-source]' ELSE '' END AS marker FROM dq")
 add("srt4_drift_page", lambda m: dr.drift_page(m, _rows(m, "links"), 1, 30).select("id", "own_status", "link_status", "via", "total"),
@@ -120,7 +120,7 @@ add("gr1_khop_out", lambda m: gr.khop_edges(m, "heron0", "out", 3), "hp AS (SELE
 _INTO = "heron0::shape.docs.plan.token_render3"
 add("gr1_khop_in", lambda m: gr.khop_edges(m, _INTO, "in", 2), "hp AS (SELECT to_id AS src, from_id AS nxt FROM e), " + _HOPS.format(d=1).replace("'heron0'", f"'{_INTO}'") + " SELECT e.id, edge_type, from_id, to_id, min(level) + 1 AS hop FROM e JOIN f ON f.at = e.to_id GROUP BY ALL", True)
 add("gr3_neighbourhood", lambda m: gr.neighbourhood(m, "heron0", 2), "hp AS (SELECT from_id AS src, to_id AS nxt FROM e UNION ALL SELECT to_id, from_id FROM e), " + _HOPS.format(d=2) + " SELECT n.id, min(level) AS level, own_status, link_status FROM n JOIN f ON f.at = n.id GROUP BY ALL", True)
-add("gr4_node_edges", lambda m: m.edges.filter("from_id = 'heron0'").withColumn("way", F.lit("out")).unionByName(m.edges.filter("to_id = 'heron0'").withColumn("way", F.lit("in"))).select("id", "way"), "SELECT id, 'out' AS way FROM e WHERE from_id = 'heron0' UNION ALL SELECT id, 'in' FROM e WHERE to_id = 'heron0'")
+add("gr4_node_edges", lambda m: node_edges(m, _INTO).select("id", "way"), f"SELECT id, 'out' AS way FROM e WHERE from_id = '{_INTO}' UNION ALL SELECT id, 'in' FROM e WHERE to_id = '{_INTO}'")
 add("gr10_expanded_steps", lambda m: gr.expanded_steps(m).drop("inner"),
     """k AS (SELECT id FROM n WHERE subtype IN ('step', 'autostep')), g AS (SELECT from_id AS step, min(to_id) AS target FROM e WHERE edge_type = 'delegates_to' GROUP BY 1), a AS (SELECT to_id AS target, min(from_id) AS "inner" FROM e WHERE edge_type = 'annotates' GROUP BY 1),
     o AS (SELECT c.from_id AS env, c.to_id AS step, regexp_extract(c.to_id, '::step-([0-9.]+)$', 1) AS no, target, "inner" FROM e c JOIN k ON k.id = c.to_id LEFT JOIN g ON g.step = c.to_id LEFT JOIN a USING (target) WHERE c.edge_type = 'composes'),

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..mesh import SQL as MESH
 from ..mesh import open_mesh
+from ..operators import graph as gr
 from ..operators import inventory as inv
+from ..operators import mutations as mu
+from ..operators.drift import EDGE_RULES
 from ..runtime import table
 from .registry import registry, us
 
 QUERIES, SQL, add = registry()
 
 PROJECT = "heron0"
+NOW = datetime(2025, 7, 1)
 
 add("flt1_get_node", lambda m: inv.with_tags(m.nodes.filter(F.col("id") == PROJECT), m.tags).select("id", "node_type", "title", "location", F.array_join("tags", ",").alias("tags")),
     f"SELECT id, node_type, title, location, coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM t WHERE node_id = id), '') AS tags FROM n WHERE id = '{PROJECT}'")
@@ -40,7 +46,7 @@ env AS (SELECT n.id, subtype, level_1, location, coalesce(CASE WHEN subtype = 's
 add("flt24_workflow_list", lambda m: inv.envelopes(m, scope="production", has_steps=True), _ENV + " SELECT * EXCLUDE (module) FROM env WHERE NOT starts_with(module, 'tests.') AND step_count > 0")
 add("agg28_workflow_steps", lambda m: inv.envelopes(m), _ENV + " SELECT * EXCLUDE (module) FROM env")
 add("flt25_nodes_by_status", lambda m: m.nodes.filter((F.col("node_type") == "atomic_process") & (F.col("own_status") == "NOT_FOUND")).select("id"), "SELECT id FROM n WHERE node_type = 'atomic_process' AND own_status = 'NOT_FOUND'")
-add("flt26_scan_excluded", lambda m: m.nodes.filter(F.arrays_overlap(F.split("location", "/"), F.array(F.lit("cache"), F.lit("export"))) | F.col("location").startswith("tests/")).select("id"),
+add("flt26_scan_excluded", lambda m: inv.scan_excluded(m, ["cache", "export"], ["tests/"]),
     "SELECT id FROM n WHERE list_has_any(string_split(location, '/'), ['cache', 'export']) OR starts_with(location, 'tests/')")
 add("flt27_composite_filter", lambda m: inv.display_filter(m, ["entity"], ["state", "docjson"], ["spec"], None, True, True).select("id"),
     """SELECT id FROM n WHERE node_type <> 'entity' AND coalesce(subtype, node_type) NOT IN ('state', 'docjson') AND id IN (SELECT node_id FROM t WHERE tag = 'spec')
@@ -50,10 +56,34 @@ _TESTS = """ts AS (SELECT n.id, count(DISTINCT e.to_id) AS validates_count FROM
 sp AS (SELECT from_id, count(*) AS step_count FROM e JOIN n ON n.id = e.to_id WHERE edge_type = 'composes' AND subtype IN ('step', 'autostep') GROUP BY 1),
 td AS (SELECT ts.id, validates_count, coalesce(step_count, 0) AS step_count, CASE WHEN step_count > 0 THEN 'T3' WHEN validates_count > 0 THEN 'T2' ELSE 'T1' END AS tier FROM ts LEFT JOIN sp ON sp.from_id = ts.id || '@workflow')"""
 add("agg27_tests_dashboard", inv.tests_dashboard, _TESTS + " SELECT * FROM td")
-add("flt28_tests_filter", lambda m: inv.tests_dashboard(m).filter("tier <> 'T1'"), _TESTS + " SELECT * FROM td WHERE tier <> 'T1'")
+add("flt28_tests_filter", lambda m: inv.tests_filter(m, "some"), _TESTS + " SELECT * FROM td WHERE tier <> 'T1'")
 add("flt30_doc_tags_any", lambda m: m.docs.filter(F.arrays_overlap("tags", F.array(F.lit("consumer"), F.lit("legacy")))).select("id"), "SELECT DISTINCT d.id FROM d JOIN t ON t.node_id = d.id WHERE tag IN ('consumer', 'legacy')")
-add("flt31_commit_filter", lambda m: m.history.filter(F.lower(F.concat_ws(" ", "git_sha", "change_type")).contains("ab") & (F.col("scanned_at") >= "2024-06-01")).select("id"),
-    "SELECT id FROM h WHERE contains(lower(concat_ws(' ', git_sha, change_type)), 'ab') AND scanned_at >= TIMESTAMPTZ '2024-06-01 00:00:00+00'")
+add("flt31_commit_filter", lambda m: inv.filter_commits(m.history.select(F.col("git_sha").alias("sha"), F.col("change_type").alias("subject"), F.col("meta").alias("body"), F.col("scanned_at").alias("at"), "id"), "AB", datetime(2024, 6, 1)).select("id"),
+    "SELECT id FROM h WHERE contains(lower(concat_ws(' ', git_sha, change_type, meta)), 'ab') AND scanned_at >= TIMESTAMPTZ '2024-06-01 00:00:00+00'")
+add("flt29_workflow_filter", lambda m: inv.workflow_filter(m, has_steps=True, linked=True), _ENV + " SELECT id FROM env WHERE step_count > 0 AND id IN (SELECT from_id FROM e WHERE edge_type = 'annotates')")
+add("flt28_tests_linked", lambda m: inv.tests_filter(m, "T2", has_targets=True), _TESTS + " SELECT * FROM td WHERE tier = 'T2' AND validates_count > 0")
+for _by, _key in (("node_type", "node_type"), ("subtype", "coalesce(subtype, node_type)"), ("status", "CASE WHEN own_status <> 'VERIFIED' THEN own_status ELSE link_status END"), ("tag", "(SELECT min(tag) FROM t WHERE node_id = id)")):
+    add(f"agg29_groups_by_{_by}", lambda m, by=_by: inv.group_counts(m, by), f"SELECT coalesce({_key}, '(none)') AS grp, count(*) AS n FROM n GROUP BY 1")
+add("srt8_capped", lambda m: inv.capped(m.nodes.select("id"), ["id"], 30), "SELECT id, (SELECT count(*) FROM n) > 30 AS truncated FROM n ORDER BY id LIMIT 30")
+add("srt13_column_sort", lambda m: inv.column_sort(m.nodes.select("id", "title"), "title", True).limit(50), "SELECT id, title FROM n ORDER BY lower(coalesce(title, '')) DESC, id LIMIT 50")
+add("srt9_char_budget_whole", lambda m: inv.within_budget(m.sections.select("id", "content"), "id", "content", 6000).select("id", "kept"), "SELECT id, sum(length(coalesce(content, ''))) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) <= 6000 AS kept FROM s")
+add("sup23_status_pairs", lambda m: inv.staleness_of(m, m.nodes).select("id", "status.own_status", "status.link_status"), "SELECT id, own_status, link_status FROM n")
+add("flt8_hashes_of", lambda m: inv.node_hashes(m, m.edges.select(F.col("to_id").alias("id"))), "SELECT x.id, code_hash, desc_hash FROM (SELECT DISTINCT to_id AS id FROM e) x LEFT JOIN n USING (id)")
+add("gr15_find_sections", lambda m: m.sections.join(m.docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.substring_index("id", "::", -1).alias("place"), "doc_id", "id"), "SELECT list_last(string_split(id, '::')) AS place, doc_id, id FROM s WHERE doc_id IN (SELECT id FROM d)")
+add("fn25_steps_json", lambda m: m.nodes.filter("level_steps is not null").select("id", F.to_json(fn.json_to_steps(fn.steps_to_json("level_steps"))).eqNullSafe(fn.steps_to_json("level_steps")).alias("same"), F.size(fn.json_to_steps(fn.steps_to_json("level_steps"))).alias("n")), "SELECT id, true AS same, CAST(len(level_steps) AS INTEGER) AS n FROM n WHERE level_steps IS NOT NULL")
+add("snk21_export_documents", lambda m: mu.export_json(m).select("kind", F.get_json_object("document", "$.id").alias("id"), F.coalesce(F.get_json_object("document", "$.title"), F.get_json_object("document", "$.from_id")).alias("what")), "SELECT 'node' AS kind, id, title AS what FROM n UNION ALL SELECT 'edge', id, from_id FROM e")
+add("snk10_set_statuses", lambda m: mu.set_statuses(m, m.nodes.filter("subtype = 'test'").select("id", F.lit("NOT_FOUND").alias("own_status"), F.lit(None).cast("string").alias("link_status"))).nodes.select("id", "own_status", "link_status"), "SELECT id, CASE WHEN subtype = 'test' THEN 'NOT_FOUND' ELSE own_status END AS own_status, link_status FROM n")
+add("stl13_mark_clean_report", lambda m: mu.mark_clean_report(m, m.edges.select(F.col("to_id").alias("id"))), "SELECT DISTINCT to_id AS id, CASE WHEN to_id IN (SELECT id FROM n) THEN 'marked' ELSE 'not_found' END AS result FROM e")
+_RULES = "r(edge_type, ft, tt) AS (VALUES " + ", ".join(str(x) for x in EDGE_RULES) + ")"
+add("api4_add_edges", lambda m: mu.add_edges(m, m.edges.filter("edge_type in ('composes', 'depends_on')").select(F.col("to_id").alias("from_id"), F.lit("consumes").alias("edge_type"), F.col("from_id").alias("to_id")), NOW)[1],
+    f"{_RULES}, w AS (SELECT DISTINCT to_id AS from_id, 'consumes' AS edge_type, from_id AS to_id FROM e WHERE edge_type IN ('composes', 'depends_on')) SELECT w.*, CASE WHEN a.id IS NULL THEN 'no_start' WHEN b.id IS NULL THEN 'no_end' WHEN NOT EXISTS (SELECT 1 FROM r WHERE r.edge_type = w.edge_type AND ft = a.node_type AND tt = b.node_type) THEN 'not_allowed' ELSE 'added' END AS result FROM w LEFT JOIN n a ON a.id = w.from_id LEFT JOIN n b ON b.id = w.to_id")
+_DOC = "sable5::docs.manifest_reset0"
+_DEL = f"g AS (SELECT id FROM n WHERE id = '{_DOC}' OR starts_with(id, '{_DOC}::'))"
+add("snk14_delete_doc", lambda m: mu.delete_doc(m, _DOC, NOW).edges.select("id"), f"{_DEL} SELECT id FROM e WHERE NOT ((from_id IN (SELECT id FROM g) OR to_id IN (SELECT id FROM g)) AND NOT (edge_type = 'documents' AND to_id IN (SELECT id FROM g) AND from_id NOT IN (SELECT id FROM g)))")
+add("doc9_delete_doc_nodes", lambda m: mu.delete_doc(m, _DOC, NOW).nodes.select("id"), f"{_DEL} SELECT id FROM n WHERE id NOT IN (SELECT id FROM g)")
+_LINKED = "heron0::shape.docs.plan.token_render3"
+add("gr2_fetch_graph", lambda m: gr.fetch_graph(m, PROJECT, "out", 2, 15, 5).select("id", "hop", "total", "truncated"),
+    f"f AS (SELECT '{PROJECT}' AS at, 0 AS level UNION SELECT to_id, level + 1 FROM f JOIN e ON e.from_id = f.at WHERE level < 1), k AS (SELECT e.id, min(level) + 1 AS hop FROM e JOIN f ON f.at = e.from_id GROUP BY 1) SELECT id, hop, (SELECT count(*) FROM k) AS total, (SELECT count(*) FROM k) > 20 AS truncated FROM k ORDER BY hop, id LIMIT 15 OFFSET 5", True)
 
 
 def _sql_query(spark: SparkSession, d: str) -> DataFrame:
@@ -92,9 +122,10 @@ add("srt1_page", lambda m: inv.page(m.nodes.select("id"), ["id"], 2, 25), "SELEC
 add("srt7_edge_page", lambda m: inv.page(m.edges.select("id"), ["id"], 1, 40), "SELECT id, (SELECT count(*) FROM e) AS total FROM e ORDER BY id LIMIT 40 OFFSET 40")
 add("srt9_char_budget", lambda m: inv.within_budget(m.sections.select("id", "doc_id", "content"), "id", "content", 600, "doc_id").select("id", "kept"),
     "SELECT id, sum(length(coalesce(content, ''))) OVER (PARTITION BY doc_id ORDER BY id ROWS UNBOUNDED PRECEDING) <= 600 AS kept FROM s")
-add("set8_edge_dedupe", lambda m: m.edges.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "SELECT id, count(*) AS n FROM e GROUP BY 1 HAVING count(*) > 1")
-add("set10_frozen_exclusion", lambda m: m.nodes.select("id").join(inv.sections_of_docs_with_tags(m, ["frozen"]), "id", "left_anti"), "SELECT id FROM n WHERE id NOT IN (SELECT s.id FROM s JOIN t ON t.node_id = s.doc_id WHERE tag = 'frozen')")
-add("set11_exclude_fixtures", lambda m: m.nodes.join(m.tags.filter("tag = 'test:fixture'").select(F.col("node_id").alias("id")), "id", "left_anti").select("id"), "SELECT id FROM n WHERE id NOT IN (SELECT node_id FROM t WHERE tag = 'test:fixture')")
+QUERIES["set8_edge_dedupe"] = lambda spark, d: inv.repeated_edges(table(spark, d, "edges"))
+SQL["set8_edge_dedupe"] = "SELECT id, count(*) AS n FROM edges GROUP BY 1 HAVING count(*) > 1"
+add("set10_frozen_exclusion", lambda m: inv.without_frozen(m, ["frozen"]).select("id"), "SELECT id FROM n WHERE id NOT IN (SELECT s.id FROM s JOIN t ON t.node_id = s.doc_id WHERE tag = 'frozen')")
+add("set11_exclude_fixtures", lambda m: inv.without_tagged(m, "test:fixture").select("id"), "SELECT id FROM n WHERE id NOT IN (SELECT node_id FROM t WHERE tag = 'test:fixture')")
 add("sup21_tags_bulk", lambda m: inv.with_tags(m.nodes.select("id"), m.tags).select("id", F.array_join("tags", ",").alias("tags")), "SELECT id, coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM t WHERE node_id = id), '') AS tags FROM n")
 add("fn_scalars", lambda m: m.nodes.select("id", fn.hash16("id").alias("hash16"), fn.slug("title").alias("slug"), fn.location_prefix("location").alias("prefix"), fn.level3("level_3_location").getField("line_start").alias("line_start"),
     fn.level3("level_3_location").getField("line_end").alias("line_end"), fn.short_name("id").alias("short_name"), fn.embedding_hash("level_1", "level_2").alias("embedding_hash"), fn.camel_to_snake(fn.short_name("id")).alias("snake"), fn.dotted("location").alias("dotted")),
