@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..mesh import Mesh
-from ..runtime import FRAGMENT_ROWS, Heavy, cut, release, salted_join
+from ..runtime import FRAGMENT_ROWS, Heavy, cut, extend, release, salted_join
 from ..schema import LINK, OWN, severity
 
 MOST_LEVELS = 32
@@ -34,7 +34,7 @@ def grow(start: DataFrame, key: list[str], step: Callable[[DataFrame], DataFrame
         if new.isEmpty():
             release(new)
             break
-        seen, front = seen.unionByName(new), new
+        seen, front = extend(seen, new), new
     return seen
 
 

@@ -68,6 +68,16 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
+def extend(table: DataFrame, df: DataFrame) -> DataFrame:
+    """A table made by cut() with the rows of df behind its own: rounds that add to a table keep plans of one shape, however
+    many they are. Readers of the table before see what it had when they were planned."""
+    path = table._quill_path
+    df.select(*table.columns).write.mode("append").option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(table.schema).parquet(path)
+    out._quill_path = path
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by cut() that nothing lazy refers to any more."""
     for df in tables:
