@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
@@ -67,6 +68,57 @@ def test_inheritance(spark):
     assert got >= {("pkg", 2, 2), ("mod", 2, 2), ("outer", 0, 1), ("self", 1, 1), ("x", 0, 0), ("y", 3, 0), ("up", 0, 0), ("gone", 0, 0)}
 
 
+def inherited(edges, kinds, given):
+    """Brute force: leaves first, what is on or above a circle left as it was."""
+    kids, done = {}, {}
+    for p, c in edges:
+        kids.setdefault(p, set()).add(c)
+    names = {x for e in edges for x in e} | set(given)
+    got = {x: given.get(x, (0, 0)) for x in names if x not in kids}
+    while True:
+        ready = [p for p in kids if p not in got and kids[p] <= set(got)]
+        if not ready:
+            break
+        for p in ready:
+            own, link = given.get(p, (0, 0))
+            wo, wl = max([own, *(got[c][0] for c in kids[p])]), max([link, *(got[c][1] for c in kids[p])])
+            got[p] = done[p] = (own, max(wl, 1) if wo or wl else wl) if kinds.get(p) == "atomic_process" else (wo, wl)
+    return {x: done.get(x, given.get(x)) for x in set(given) | set(done)}
+
+
+@pytest.mark.parametrize("fragment", [250_000, 40, 6])
+def test_inheritance_by_fragments(spark, fragment):
+    rnd = random.Random(fragment)
+    ids = [f"n{i:03}" for i in range(120)]
+    rnd.shuffle(ids)
+    edges = {(ids[i], ids[rnd.randrange(i + 1, min(i + 9, 120))]) for i in range(118) for _ in range(2)} | {(ids[0], x) for x in ids[1:60]}  # one with many children
+    edges |= {(ids[100], ids[90]), (ids[7], "far"), ("none", ids[50])}
+    kinds = {x: rnd.choice(["atomic_process", "composite_process"]) for x in ids}
+    given = {x: (rnd.choice([0, 0, 0, 1, 2, 4]), rnd.choice([0, 0, 0, 1, 2])) for x in ids}
+    m = mesh(spark, [node(x, kinds[x], "module") for x in ids], [("composes", a, b) for a, b in edges])
+    s = spark.createDataFrame([(k, *v) for k, v in given.items()], "id string, own int, link int")
+    got = {r.id: (r.own, r.link) for r in graph.inherit(m, s, fragment).collect()}
+    assert got == inherited(edges, kinds, given)
+
+
+def test_stored_renames_stay(spark):
+    nodes = [node("a", own="RENAMED"), node("b", own="RENAMED"), node("c")]
+    m = mesh(spark, nodes, cur=[("a", False, "c", "d"), ("b", True, None, None), ("c", False, "c", "d")])
+    assert dict(rows(staleness.statuses(m), "id", "own_status")) == {"a": "RENAMED", "b": "NOT_FOUND", "c": "VERIFIED"}
+    assert dict(rows(staleness.statuses(m, renamed=spark.createDataFrame([("c",)], "id string")), "id", "own_status"))["c"] == "RENAMED"
+
+
+def test_long_chains_of_delegation(spark):
+    n = 34
+    nodes = [x for i in range(n) for x in (node(f"e{i}", "composite_process", "workflow"), node(f"e{i}::step-1", subtype="autostep"), node(f"f{i}"))]
+    edges = [x for i in range(n) for x in (("composes", f"e{i}", f"e{i}::step-1"), ("annotates", f"e{i}", f"f{i}"), *([("delegates_to", f"e{i}::step-1", f"f{i + 1}")] if i + 1 < n else []))]
+    m = mesh(spark, nodes, edges)
+    steps = graph.expanded_steps(m).filter("root = 'e0'").collect()
+    assert len(steps) == n and max(r.path.count(".") for r in steps) == n - 1
+    start = spark.createDataFrame([("e0",)], "id string")
+    assert graph.reachable_tasks(m, start).count() == 32 and graph.reachable_tasks(m, start, None).count() == n - 1
+
+
 def test_own_statuses_and_promotion(spark):
     nodes = [node("same"), node("code"), node("desc"), node("both"), node("gone"), node("new"), node("m", "composite_process", "module"), node("s", subtype="step"), node("done"), node("nohash", code=None)]
     cur = [("same", False, "c", "d"), ("code", False, "x", "d"), ("desc", False, "c", "x"), ("both", False, "x", "x"), ("gone", True, "c", "d"), ("m", False, "x", "x"), ("s", True, "c", "d"), ("done", False, "x", "y"), ("nohash", False, "x", "d")]
