@@ -51,6 +51,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.manifest_sections(table(spark, d, "cycle_manifests"))
 
 
+def p4_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of sections: their own fields beside the key of what holds them, at every depth."""
+    m = table(spark, d, "cycle_manifests")
+    plan = flatten.layout(m, "raw", "manifest", "sections")
+    s = flatten.flat_table(flatten.shred(m, "manifest_id", "raw", plan, ["sections"], ["id", "heading", "content"]), "sections", ["id", "heading", "content"])
+    return s.select(F.col("record_id").alias("manifest_id"), "pos_path", "parent_table", "parent_path", F.coalesce("id", "entry_key", F.lit("")).alias("section_id"), "heading", "content")
+
+
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "cycle_manifests")
     plan = flatten.layout(m, "raw", "manifest", "sections")
@@ -83,7 +91,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "node_snapshots"), "snapshot_no", "id", "updated_at", ["code_hash", "desc_hash"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p3_found, p3_paths, p3_descendants, p3_all_paths, p3_all_descendants, p4_found, p4_links, p4_tags, p5_found, p5_versions, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p3_found, p3_paths, p3_descendants, p3_all_paths, p3_all_descendants, p4_found, p4_sections, p4_links, p4_tags, p5_found, p5_versions, p7_found)}
 
 _REFS = """
 ref AS (

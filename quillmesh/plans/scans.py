@@ -45,6 +45,15 @@ def src16_docjson_sections(spark: SparkSession, d: str) -> DataFrame:
     return ok.select(F.col("record_id").alias("manifest_id"), "pos_path", "depth", F.coalesce("id", "entry_key").alias("id"), "heading", fn.hash16(fn.strip_html(F.coalesce("content", F.lit("")))).alias("code_hash"))
 
 
+def src16_skipped_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The sections that src16_docjson_sections leaves out, as they lie below the third level: what the index warns of."""
+    m = table(spark, d, "cycle_manifests")
+    plan = flatten.layout(m, "raw", "manifest", "sections")
+    s = flatten.flat_table(flatten.shred(m, "manifest_id", "raw", plan, ["sections"], ["id"]), "sections", ["id"])
+    depth = F.size(F.split("pos_path", r"\.")) - 1
+    return s.filter(depth > 2).select(F.col("record_id").alias("manifest_id"), "pos_path", depth.alias("depth"), F.coalesce("id", "entry_key").alias("id"))
+
+
 def src18_file_hashes(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("location", fn.hash16("content").alias("code_hash"), fn.dotted("location").alias("dotted"))
 
@@ -115,7 +124,7 @@ def sup50_matched_roots(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("location", project.matched_root("location", ["heron0/store", "heron0", "tarn3/"]).alias("root"), project.root_prefix("location").alias("prefix"))
 
 
-QUERIES = {f.__name__: f for f in (src7_script_nodes, src8_script_edges, src12_markdown_nodes, src18_config_nodes, src22_documents, stl4_files_to_read, stl3_same_text, stl22_stale_locations, set1_orphan_links, stl9_current_hashes, sup50_matched_roots, src1_python_nodes, src1_python_edges, src12_markdown_sections, src16_docjson_sections, src18_file_hashes, src23_changed_files)}
+QUERIES = {f.__name__: f for f in (src7_script_nodes, src8_script_edges, src12_markdown_nodes, src18_config_nodes, src22_documents, stl4_files_to_read, stl3_same_text, stl22_stale_locations, set1_orphan_links, stl9_current_hashes, sup50_matched_roots, src1_python_nodes, src1_python_edges, src12_markdown_sections, src16_docjson_sections, src16_skipped_sections, src18_file_hashes, src23_changed_files)}
 _LAST = "l AS (SELECT * FROM source_files WHERE location IS NOT NULL QUALIFY row_number() OVER (PARTITION BY location ORDER BY delivered_at DESC, file_id DESC) = 1)"
 SQL = {
     "src12_markdown_nodes": """WITH b AS (SELECT 'pages' || '::' || replace(source || '/d' || doc_id, '/', '.') AS id, text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL), p AS (SELECT id, regexp_split_to_array(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '(?s)```.*?```', '', 'g'), '(?m)^## ') AS a FROM b), q AS (SELECT id, unnest(a[2:]) AS part FROM p)
