@@ -44,7 +44,8 @@ def khop_nodes(m: Mesh, node_id: str, direction: str = "out", depth: int = 1) ->
     back = m.edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("nxt"))
     hops = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
     start = m.edges.sparkSession.createDataFrame([(node_id,)], "id string")
-    return grow(start, ["id"], lambda f: f.join(hops, "id").select(F.col("nxt").alias("id")), depth)
+    # A semi-join by an end goes below the merging of repeated edges: the few found ids filter the scan, no edge is shuffled.
+    return grow(start, ["id"], lambda f: hops.join(f, "id", "left_semi").select(F.col("nxt").alias("id")), depth)
 
 
 def khop_edges(m: Mesh, node_id: str, direction: str = "out", depth: int = 1) -> DataFrame:
@@ -53,7 +54,8 @@ def khop_edges(m: Mesh, node_id: str, direction: str = "out", depth: int = 1) ->
     ends = {"out": ["from_id"], "in": ["to_id"], "both": ["from_id", "to_id"]}[direction]
     hit = None
     for end in ends:
-        part = m.edges.join(near.select(F.col("id").alias(end), (F.col("level") + 1).alias("hop")), end).select("id", "edge_type", "from_id", "to_id", "hop")
+        mine = m.edges.select("id", "edge_type", "from_id", "to_id").join(near.select(F.col("id").alias(end)), end, "left_semi")
+        part = mine.join(near.select(F.col("id").alias(end), (F.col("level") + 1).alias("hop")), end).select("id", "edge_type", "from_id", "to_id", "hop")
         hit = part if hit is None else hit.unionByName(part)
     return hit.groupBy("id", "edge_type", "from_id", "to_id").agg(F.min("hop").alias("hop"))
 

@@ -64,6 +64,27 @@ def test_hashes_of_files_and_commits(spark):
     assert revisions.net_diff(m.nodes, changes, same, m.nodes).collect() == []
 
 
+def test_rescan_and_reconcile(spark):
+    m, _ = b.build(store.empty(spark), files(spark, p__a_py=A), T[0])
+    again = b.rescan(m, files(spark, p__a_py=A.replace("return 1", "return 2").replace("def gone", "def fresh():\n    pass\n\n\ndef gone")), T[1])
+    old, new = ({r.id: r.code_hash for r in x.nodes.collect()} for x in (m, again))
+    assert set(new) - set(old) == {"p::a::fresh"} and all(new[k] == old[k] for k in old)  # known hashes stay, so that drift shows
+    from quillmesh.operators import documents
+
+    raw = '{"title": "t", "sections": [{"id": "s", "heading": "h", "links": [{"node_id": "p::a"}, {"node_id": "p::x"}]}]}'
+    docs = spark.createDataFrame([("p", "d", raw)], "project string, slug string, raw string")
+    m = documents.write_docs(m, docs, T[2])[0]
+    intended = spark.createDataFrame([("p::docs.d::s", "p::a")], "from_id string, to_id string")
+    out = b.reconcile_links(m, intended, m.sections, T[3])
+    assert [r.to_id for r in out.edges.filter("edge_type = 'documents'").collect()] == ["p::a"]
+    assert [r.node_id for r in out.history.filter("change_type = 'LINK_REMOVED'").collect()] == ["p::docs.d::s"]
+    # A build that reads the documents along: drift of a section shows, a vanished document goes.
+    m2, _ = b.build(m, files(spark, p__a_py=A), T[4], docs=spark.createDataFrame([("p", "d", raw.replace('"h"', '"other"'))], "project string, slug string, raw string"))
+    assert ids(m2)["p::docs.d::s"] == ("CONTENT_UPDATED", "BROKEN_LINK")
+    m3, told = b.build(m2, files(spark, p__a_py=A), T[5], docs=docs.limit(0))
+    assert not any(k.startswith("p::docs") for k in ids(m3)) and told["purged"] == 2 and m3.sections.count() == 0
+
+
 def test_project(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "node_modules").mkdir()
