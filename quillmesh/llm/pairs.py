@@ -21,6 +21,8 @@ _PY_OPAQUE = re.compile(
     r"""(?P<str>(?P<pre>\b[rRbBuUfFtT]{1,2})?(?:\"{3}(?:[^\\]|\\.)*?(?:\"{3}|\Z)|'{3}(?:[^\\]|\\.)*?(?:'{3}|\Z)|"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)))|(?P<com>\#[^\n]*)""",
     re.S,
 )
+
+
 def mask_python(text: str) -> tuple[str, dict[int, tuple[int, str]]]:
     """(text with strings and comments blanked, start of each string -> (end, prefix))."""
     strings: dict[int, tuple[int, str]] = {}
@@ -34,7 +36,6 @@ def mask_python(text: str) -> tuple[str, dict[int, tuple[int, str]]]:
     return "".join(out), strings
 
 
-
 @dataclass(slots=True)
 class Found:
     qual_name: str
@@ -237,7 +238,6 @@ def description(doc: str, javascript: bool) -> str:
     return "\n".join([lines[0].strip(), *(x[lead:].rstrip() for x in lines[1:])]).strip()
 
 
-
 def _extract(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
