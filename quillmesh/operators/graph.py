@@ -30,11 +30,9 @@ def grow(start: DataFrame, key: list[str], step: Callable[[DataFrame], DataFrame
     front = seen
     for level in count(1) if levels is None else range(1, levels + 1):
         new = step(front.select(*key)).select(*key).distinct().join(seen.select(*key), key, "left_anti")
-        new = cut(new.withColumn("level", F.lit(level)))
-        if new.isEmpty():
-            release(new)
+        seen, front = extend(seen, new.withColumn("level", F.lit(level)))
+        if front.isEmpty():
             break
-        seen, front = extend(seen, new), new
     return seen
 
 

@@ -68,14 +68,15 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
-def extend(table: DataFrame, df: DataFrame) -> DataFrame:
-    """A table made by cut() with the rows of df behind its own: rounds that add to a table keep plans of one shape, however
-    many they are. Readers of the table before see what it had when they were planned."""
-    path = table._quill_path
-    df.select(*table.columns).write.mode("append").option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(table.schema).parquet(path)
-    out._quill_path = path
-    return out
+def extend(table: DataFrame, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a table made by cut() with the rows of df beside its own, those rows): df is written once, and rounds that add to a table
+    keep plans of one shape, however many they are. Readers of the table before see what it had when they were planned."""
+    spark, path = df.sparkSession, table._quill_path
+    part = f"{path}/{uuid.uuid4().hex}"
+    df.select(*table.columns).write.option("compression", "zstd").parquet(part)
+    whole = spark.read.schema(table.schema).option("recursiveFileLookup", "true").parquet(path)
+    whole._quill_path = path
+    return whole, spark.read.schema(table.schema).parquet(part)
 
 
 def release(*tables: DataFrame) -> None:
