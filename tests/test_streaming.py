@@ -1,3 +1,4 @@
+import uuid
 from datetime import datetime
 
 from quillmesh.operators import references as r
@@ -16,7 +17,7 @@ def test_reference_state_over_batches(spark, tmp_path):
         state.apply(r.reference_deltas(df), n)
         state.apply(r.reference_deltas(df), n)  # a repeat counts once
 
-    q = inc.run_once(inc.read_new(spark, src, spark.read.parquet(src).schema, 1), f"refs-{tmp_path.name}", take)
+    q = inc.run_once(inc.read_new(spark, src, spark.read.parquet(src).schema, 1), f"refs-{uuid.uuid4().hex}", take)
     q.awaitTermination()
     assert q.exception() is None
     got = state.read(1)
