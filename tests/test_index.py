@@ -251,3 +251,18 @@ def test_sql_passthrough(spark):
         inventory.run_sql(spark, m, "DELETE FROM nodes")
     assert rows(inventory.run_sql(spark, m, "select id, file_mtime from nodes order by id", 1), "id", "file_mtime") == {("a", "NULL")}
     assert max(len(r.id) for r in inventory.run_sql(spark, m, "SELECT id FROM nodes").collect()) == 80
+
+
+def test_upserts_of_sections_without_broadcasts(spark):
+    """Tables too large to be broadcast are joined by the key after a union of sides that are both partitioned by it."""
+    import __spark_entry__ as e
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = "/root/testdata/sf0.001"
+        got = e.queries()["snk5_upsert_sections"](spark, d).collect()
+        assert {r.id for r in got} == {r.id for r in spark.read.parquet(f"{d}/nodes.parquet").filter("subtype = 'docjson'").select("id").distinct().collect()}
+        assert len(got) == len({r.id for r in got}) and any(r.level_1 == r.level_1.upper() for r in got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
