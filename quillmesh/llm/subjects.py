@@ -19,6 +19,9 @@ MOST_EXAMPLES = 100_000
 MOST_BROADCAST = 200_000
 #: Terms that lie at most so far apart in a passage's sorted terms make a candidate key together.
 REACH = 11
+#: What newly labelled passages of at most so many terms tell is counted by subsets of their terms, if passages of no more than
+#: MOST_SUBSETS_OF terms can be similar to them.
+SHORT, MOST_SUBSETS_OF = 3, 16
 #: The number of a subject takes so many bits beside a count.
 BITS = 10
 SENTENCES = "doc_id long, total int, n int, common int, terms array<string>"
@@ -84,8 +87,9 @@ def _sentences(lang_of: dict[str, str], drop: frozenset[str], common: frozenset[
 
 
 def similar_passages(nodes: DataFrame, similarity: float, reach: int = REACH) -> DataFrame:
-    """src, dst: the verified similarity graph of passages (sid, content: hashes of their terms in the order of the terms), each
-    link in both directions.
+    """src, dst: a sparse part of the verified similarity graph of passages (sid, content: hashes of their terms in the order of the
+    terms), each link in both directions. Of similar passages with a common hub many have no link of their own, and terms far
+    apart make no pair; spread_similar holds all pairs.
 
     Two passages that share a term, or two (at most reach places apart in either), are candidates. Of those with one term, or
     pair of terms, the one of fewest terms is the hub, and the others are held against it: they are linked if the cosine of their terms is
@@ -132,6 +136,67 @@ def spread_labels(links: DataFrame, seeds: DataFrame, purity: float) -> DataFram
             release(before)
 
 
+def spread_similar(passages: DataFrame, seeds: DataFrame, similarity: float, purity: float) -> DataFrame:
+    """sid, k: what spread_labels gives over the links of all pairs of passages (sid, content: hashes of their terms) whose
+    cosine is at least `similarity`, from seeds (sid, k; one row each). No pair is left out, and no list of links is made.
+
+    Passages without a label that have equal terms are told the same in each round: they are one shape. What newly labelled
+    passages of up to SHORT terms tell a shape is counted by their subsets of terms: with S(i) the number of passages that
+    hold a subset of i terms of the shape, over all such subsets, S(1) - S(2) + S(3) share at least one term with it,
+    S(2) - 2 S(3) at least two, and S(3) three. Longer ones meet those they can be similar to by their first terms in the
+    order of the hashes: with p of them left out a pair would share too few terms. The first that both have verifies the pair.
+    """
+    short = SHORT if SHORT <= MOST_SUBSETS_OF * similarity**2 else 0  # else longer shapes than that have to be cut into subsets
+    need = lambda a, b: F.greatest(F.ceil(F.lit(similarity) * F.sqrt((a * b).cast("double")) - 1e-9).cast("int"), F.lit(1))
+
+    def first(size: Column, least: int) -> Column:
+        """How many first terms a passage needs beside others of at least `least` terms."""
+        other = F.greatest(F.ceil(F.lit(similarity**2) * size - 1e-9).cast("int"), F.lit(least))
+        return F.greatest(size - need(size, other) + 1, F.lit(0))
+
+    every = cut(passages.select("sid", F.array_sort(F.array_distinct("content")).alias("content")).filter(F.size("content") > 0).withColumn("cid", F.xxhash64("content")))
+    known = seeds.select("sid", "k")
+    free = cut(every.join(known, "sid", "left_anti").select("sid", "cid"))
+    shapes = cut(free.groupBy("cid").agg(F.count("*").alias("w")).join(every.groupBy("cid").agg(F.first("content").alias("content")), "cid"))
+    size = F.size("content")
+    rest = lambda i: F.slice("content", i + 2, size)
+    ones = F.transform("content", lambda x: F.struct(F.lit(1).alias("i"), F.xxhash64(x).alias("key")))
+    twos = F.flatten(F.transform("content", lambda x, i: F.transform(rest(i), lambda y: F.struct(F.lit(2).alias("i"), F.xxhash64(x, y).alias("key")))))
+    threes = F.flatten(F.flatten(F.transform("content", lambda x, i: F.transform(rest(i), lambda y, j: F.transform(F.slice("content", i + j + 3, size), lambda z: F.struct(F.lit(3).alias("i"), F.xxhash64(x, y, z).alias("key")))))))
+    subsets = F.explode(F.concat(ones, twos, threes)).alias("x")
+    parts = cut(shapes.filter(F.lit(similarity**2) * size <= short + 1e-9).select("cid", size.alias("size"), subsets).select("cid", "size", "x.*"))
+    heavy_parts = Heavy(parts.groupBy("key").agg(F.count("*").alias("n")), "key", "n")
+    begin = lambda least: F.slice("content", 1, first(size, least))
+    heads = cut(shapes.select("cid", "content", begin(short + 1).alias("head")).withColumn("key", F.explode("head")))
+    heavy_heads = Heavy(heads.groupBy("key").agg(F.count("*").alias("n")), "key", "n")
+
+    def told_by(front: DataFrame) -> DataFrame:
+        """cid, k, c: addends of the numbers of passages of the front (content, k, w) with a label that are similar to a shape."""
+        few = front.filter(size <= short).select("k", "w", size.alias("m"), subsets).groupBy(F.col("x.key").alias("key"), "m", "k").agg(F.sum("w").alias("w"))
+        j, i = need(F.col("m"), F.col("size")), F.col("i")
+        times = F.when(j == 1, F.when(i == 2, -1).otherwise(1)).when(j == 2, F.when(i == 2, 1).when(i == 3, -2).otherwise(0)).when((j == 3) & (i == 3), 1).otherwise(0)
+        by_parts = salted_join(parts, few, "key", heavy_parts, F.col("cid")).withColumn("w", F.col("w") * times).filter("w <> 0").select("cid", "k", F.col("w").alias("c"))
+        long = front.filter(size > short).select("k", "w", F.col("content").alias("terms"), begin(1).alias("start")).withColumn("key", F.explode("start"))
+        both = salted_join(heads, long, "key", heavy_heads, F.col("cid")).filter(F.get(F.array_intersect("head", "start"), 0) == F.col("key"))
+        alike = F.size(F.array_intersect("content", "terms")) >= need(size, F.size("terms"))
+        return by_parts.unionByName(both.filter(alike).select("cid", "k", F.col("w").alias("c")))
+
+    sown = every.join(known, "sid").groupBy("cid", "k").agg(F.first("content").alias("content"), F.count("*").alias("w"))
+    front = cut(sown.select("content", "k", "w"))
+    labelled = cut(shapes.limit(0).select("cid", F.lit(0).alias("k")))
+    votes = cut(shapes.limit(0).select("cid", F.lit(0).alias("k"), F.lit(0).cast("long").alias("c")))
+    while not front.isEmpty():
+        every_vote = told_by(front).unionByName(votes).groupBy("cid", "k").agg(F.sum("c").alias("c")).filter("c > 0")
+        now = cut(every_vote.join(labelled.select("cid"), "cid", "left_anti"))
+        top = F.max(F.shiftleft("c", BITS).bitwiseOR(F.col("k"))).alias("x")
+        best = now.groupBy("cid").agg(F.sum("c").alias("all"), top).filter(F.shiftright("x", BITS) >= purity * F.col("all"))
+        labelled, fresh = extend(labelled, best.select("cid", F.col("x").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("k")))
+        release(votes, front)
+        votes, front = now, cut(shapes.join(fresh, "cid").select("content", "k", "w"))
+    release(parts, heads)
+    return cut(free.join(labelled, "cid").select("sid", "k").unionByName(known))
+
+
 def document_subjects(
     documents: DataFrame, examples: DataFrame, rest: str = "tooling", share: float = 0.2, purity: float = 0.8, support: float = 0.2, least: int = 3, witnesses: int = 3, similarity: float = 0.5
 ) -> DataFrame:
@@ -139,9 +204,9 @@ def document_subjects(
     without any (its share is null), such as one with a null or empty text.
 
     The sentences of all documents are passages of a graph, those with equal terms being one. Passages are linked where they
-    are verified to be similar (similar_passages), without terms that examples of `rest` use or that are common to the
+    are verified to be similar, all that are (spread_similar), without terms that examples of `rest` use or that are common to the
     examples of several subjects. The passages of the labelled examples are part of it and the trusted seeds: they keep
-    their subject, and labels spread from them over the links until nothing changes (spread_labels).
+    their subject, and labels spread from them over the links until nothing changes.
 
     A term then has the subject of the labelled passages that hold it beside a trusted term of that subject, if at least `least` of them and `support` of all, with at
     least `witnesses` different other terms, have one, and at least `purity` of those that have any; terms trusted from the
@@ -183,7 +248,7 @@ def document_subjects(
     # A passage that examples of several subjects have is no seed.
     sown = trusted.groupBy("sid").agg(F.first("content").alias("content"), F.min("k").alias("k"), F.max("k").alias("k2")).filter("k = k2").select("sid", "content", "k")
     passages = nodes.select("sid", content).join(F.broadcast(sown.select("sid")), "sid", "left_anti").unionByName(sown.select("sid", "content"))  # examples: bounded
-    labelled = spread_labels(similar_passages(passages, similarity), sown, purity)
+    labelled = spread_similar(passages, sown, similarity, purity)
     # What the labelled passages say of their terms, each beside another term of the passage.
     # Those of one term alone, which may be a passing mention, and those without a trusted term of their subject say nothing: a
     # label that strayed into another part of the graph ends there.

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from quillmesh.llm import subjects as sj
 from quillmesh.llm.text import sentences, words
@@ -113,3 +115,30 @@ def test_hot_pairs_of_terms(spark, monkeypatch):
     links = sj.similar_passages(nodes, 0.5)
     assert links.count() == 2 * 59
     assert sj.spread_labels(links, spark.createDataFrame([(7, 1)], "sid long, k int"), 0.8).count() == 60
+
+
+def spread_by_hand(passages, seeds, similarity, purity):
+    """The labels of the graph of all similar pairs, pair by pair."""
+    sets = {i: set(c) for i, c in passages}
+    near = {i: [j for j, b in sets.items() if j != i and a and b and len(a & b) >= similarity * math.sqrt(len(a) * len(b)) - 1e-9] for i, a in sets.items()}
+    out, more = dict(seeds), True
+    while more:
+        told = {i: Counter(out[j] for j in near[i] if j in out) for i in sets if i not in out}
+        more = {i: k for i, c in told.items() if c and (k := max(c, key=lambda x: (c[x], x))) is not None and c[k] >= purity * sum(c.values())}
+        out |= more
+    return out
+
+
+def test_labels_travel_over_all_similar_pairs(spark, monkeypatch):
+    from quillmesh import runtime
+
+    rnd = random.Random(11)
+    passages = [(i, rnd.sample([f"t{rnd.choice((0, 20))}{x}" for x in range(14)], rnd.choice([0, 1, 2, 2, 3, 3, 4, 5, 7, 13]))) for i in range(220)]
+    passages += [(1000 + i, c) for i, c in passages[:20]]  # equal terms
+    seeds = {i: i % 3 for i in rnd.sample(range(220), 25)}
+    nodes = hashed(spark.createDataFrame(passages, "sid long, content array<string>"))
+    sown = spark.createDataFrame(list(seeds.items()), "sid long, k int")
+    monkeypatch.setattr(runtime.Heavy.__init__, "__defaults__", (30,))
+    for similarity, purity in ((0.5, 0.8), (0.75, 0.5), (0.3, 0.6)):
+        got = [tuple(r) for r in sj.spread_similar(nodes, sown, similarity, purity).select("sid", "k").collect()]
+        assert len(got) == len(dict(got)) and dict(got) == spread_by_hand(passages, seeds, similarity, purity)
